@@ -10,6 +10,8 @@ import zipfile
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from halyard.functions.numeric import rnd
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the source application's (do not edit).
 # Word-count fallback lexicons.
@@ -85,7 +87,7 @@ def label_from_compound(compound) -> Column:
         .when(c <= -COMPOUND_CUT, (F.lit(1) - c) / 2)
         .otherwise(F.lit(0.5))
     )
-    return F.struct(label.alias("label"), F.round(score, 4).alias("score"))
+    return F.struct(label.alias("label"), rnd(score, 4).alias("score"))
 
 
 def normalise_label(raw) -> Column:

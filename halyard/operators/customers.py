@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from halyard.functions.numeric import rnd
 from pyspark.sql import Window as W
 
 from halyard.functions import customer as cf
@@ -209,7 +211,7 @@ def negative_feedback_by_churn(fb: DataFrame, cb: DataFrame) -> DataFrame:
         cb.select("customer_id", "churn_status"), "customer_id", "inner")
     return j.groupBy("churn_status").agg(
         F.count(F.lit(1)).alias("n_feedback"),
-        F.round(F.avg((F.col("sentiment_label") == "negative").cast("double")) * 100, 6).alias("negative_pct"),
+        rnd(F.avg((F.col("sentiment_label") == "negative").cast("double")) * 100, 6).alias("negative_pct"),
     )
 
 
@@ -223,7 +225,7 @@ def profile_quality(df: DataFrame, key: str, target: str | None = None) -> DataF
         (F.count(F.lit(1)) - F.count_distinct(key)).alias("n_duplicate_keys"),
     ]
     if target:
-        aggs.append(F.round(F.avg(F.col(target).cast("double")), 6).alias("target_rate"))
+        aggs.append(rnd(F.avg(F.col(target).cast("double")), 6).alias("target_rate"))
     return df.agg(*aggs)
 
 
@@ -233,7 +235,7 @@ def churn_overview(cb: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("churn_status")).alias("churned"),
         F.count_if(~F.col("churn_status")).alias("retained"),
-        F.round(F.avg(F.col("churn_status").cast("double")), 6).alias("churn_rate"),
+        rnd(F.avg(F.col("churn_status").cast("double")), 6).alias("churn_rate"),
     )
 
 
@@ -249,14 +251,14 @@ def spending_profile(cb: DataFrame) -> DataFrame:
     seg = with_segments(cb)
     return seg.groupBy("spending_tier").agg(
         F.count(F.lit(1)).alias("count"),
-        F.round(F.avg("monthly_charges"), 6).alias("avg_monthly"),
+        rnd(F.avg("monthly_charges"), 6).alias("avg_monthly"),
     ).orderBy("avg_monthly")
 
 
 def tenure_stats(cb: DataFrame) -> DataFrame:
     """D6."""
     return cb.agg(
-        F.round(F.avg("tenure_months"), 6).alias("mean_tenure"),
+        rnd(F.avg("tenure_months"), 6).alias("mean_tenure"),
         F.percentile("tenure_months", 0.5).alias("median_tenure"),
         F.count_if(F.col("tenure_months") < 12).alias("n_new"),
         F.count_if(F.col("tenure_months") > 36).alias("n_long_term"),
@@ -268,7 +270,7 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     over the already-aggregated groups (one row per distinct value)."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     total = F.sum("count").over(W.partitionBy())
-    return g.withColumn("pct", F.round(F.col("count") * 100.0 / total, 6)).orderBy(F.desc("count"), col)
+    return g.withColumn("pct", rnd(F.col("count") * 100.0 / total, 6)).orderBy(F.desc("count"), col)
 
 
 def demographics(cb: DataFrame) -> DataFrame:
@@ -284,14 +286,14 @@ def demographics(cb: DataFrame) -> DataFrame:
     wide = cb.agg(*aggs)
     stack = ", ".join(f"'{k}', `{k}`" for k in flags)
     long = wide.selectExpr("_n", f"stack({len(flags)}, {stack}) as (flag, count)")
-    return long.select("flag", "count", F.round(F.col("count") / F.col("_n"), 6).alias("share"))
+    return long.select("flag", "count", rnd(F.col("count") / F.col("_n"), 6).alias("share"))
 
 
 def churn_by(cb: DataFrame, col: str) -> DataFrame:
     """Churn rate per value of ``col``, highest first, with best/worst."""
     g = cb.groupBy(col).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(F.col("churn_status").cast("double")), 6).alias("churn_rate"),
+        rnd(F.avg(F.col("churn_status").cast("double")), 6).alias("churn_rate"),
     )
     w_all = W.partitionBy()
     return g.withColumns({
@@ -319,15 +321,15 @@ def churn_by_tenure_band(cb: DataFrame) -> DataFrame:
     wide = cb.agg(*aggs)
     stack = ", ".join(f"'{k}', `n_{k}`, `r_{k}`" for k in bands)
     long = wide.selectExpr(f"stack({len(bands)}, {stack}) as (band, n, churn_rate)")
-    return long.select("band", "n", F.round("churn_rate", 6).alias("churn_rate"))
+    return long.select("band", "n", rnd("churn_rate", 6).alias("churn_rate"))
 
 
 def revenue_at_risk(cb: DataFrame) -> DataFrame:
     """Monthly revenue of churned customers vs all."""
     return cb.agg(
-        F.round(F.sum(F.when(F.col("churn_status"), F.col("monthly_charges")).otherwise(0.0)), 4).alias("churned_revenue"),
-        F.round(F.sum("monthly_charges"), 4).alias("total_revenue"),
-    ).withColumn("ratio", F.round(F.col("churned_revenue") / F.nullif(F.col("total_revenue"), F.lit(0.0)), 6))
+        rnd(F.sum(F.when(F.col("churn_status"), F.col("monthly_charges")).otherwise(0.0)), 4).alias("churned_revenue"),
+        rnd(F.sum("monthly_charges"), 4).alias("total_revenue"),
+    ).withColumn("ratio", rnd(F.col("churned_revenue") / F.nullif(F.col("total_revenue"), F.lit(0.0)), 6))
 
 
 def revenue_at_risk_by_band(scored: DataFrame) -> DataFrame:
@@ -335,19 +337,19 @@ def revenue_at_risk_by_band(scored: DataFrame) -> DataFrame:
     band = rf.risk_band("churn_probability")
     return scored.agg(
         F.count_if(band == "High Risk").alias("n_high_risk"),
-        F.round(F.sum(F.when(band == "High Risk", F.col("monthly_charges")).otherwise(0.0)), 4).alias("revenue_at_risk"),
-        F.round(F.sum("monthly_charges"), 4).alias("total_revenue"),
-    ).withColumn("pct_at_risk", F.round(F.col("revenue_at_risk") * 100 / F.nullif(F.col("total_revenue"), F.lit(0.0)), 6))
+        rnd(F.sum(F.when(band == "High Risk", F.col("monthly_charges")).otherwise(0.0)), 4).alias("revenue_at_risk"),
+        rnd(F.sum("monthly_charges"), 4).alias("total_revenue"),
+    ).withColumn("pct_at_risk", rnd(F.col("revenue_at_risk") * 100 / F.nullif(F.col("total_revenue"), F.lit(0.0)), 6))
 
 
 def overview_kpis(cb: DataFrame) -> DataFrame:
     """The dashboard headline row."""
     return cb.agg(
         F.count(F.lit(1)).alias("total_customers"),
-        F.round(F.avg(F.col("churn_status").cast("double")) * 100, 6).alias("churn_pct"),
-        F.round(F.avg("monthly_charges"), 6).alias("avg_monthly"),
-        F.round(F.avg("tenure_months"), 6).alias("avg_tenure"),
-        F.round(F.sum(F.when(F.col("churn_status"), F.col("monthly_charges")).otherwise(0.0)), 4).alias("revenue_at_risk"),
+        rnd(F.avg(F.col("churn_status").cast("double")) * 100, 6).alias("churn_pct"),
+        rnd(F.avg("monthly_charges"), 6).alias("avg_monthly"),
+        rnd(F.avg("tenure_months"), 6).alias("avg_tenure"),
+        rnd(F.sum(F.when(F.col("churn_status"), F.col("monthly_charges")).otherwise(0.0)), 4).alias("revenue_at_risk"),
     )
 
 
@@ -358,7 +360,7 @@ def corr_with_target(cb: DataFrame) -> DataFrame:
     wide = enc.agg(*aggs)
     stack = ", ".join(f"'{c}', `{c}`" for c in CORR_FEATURES)
     long = wide.selectExpr(f"stack({len(CORR_FEATURES)}, {stack}) as (feature, corr)")
-    return long.select("feature", F.round("corr", 6).alias("corr")).orderBy(F.desc("corr"), "feature")
+    return long.select("feature", rnd("corr", 6).alias("corr")).orderBy(F.desc("corr"), "feature")
 
 
 def risk_segmentation(scored: DataFrame) -> DataFrame:
@@ -366,9 +368,9 @@ def risk_segmentation(scored: DataFrame) -> DataFrame:
     band = rf.risk_band("churn_probability")
     return scored.groupBy(band.alias("risk_band")).agg(
         F.count(F.lit(1)).alias("count"),
-        F.round(F.avg(F.col("churn_status").cast("double")), 3).alias("actual_churn_rate"),
-        F.round(F.avg("churn_probability"), 3).alias("avg_predicted_prob"),
-        F.round(F.avg("monthly_charges"), 3).alias("avg_monthly_charges"),
+        rnd(F.avg(F.col("churn_status").cast("double")), 3).alias("actual_churn_rate"),
+        rnd(F.avg("churn_probability"), 3).alias("avg_predicted_prob"),
+        rnd(F.avg("monthly_charges"), 3).alias("avg_monthly_charges"),
     )
 
 
@@ -408,8 +410,8 @@ def histogram_equal_width(df: DataFrame, col: str, n_bins: int = 24, flag: str =
     width = (hi - lo) / F.lit(float(n_bins))
     return g.select(
         "bin",
-        F.round(lo + (F.col("bin") - 1) * width, 6).alias("bin_start"),
-        F.round(lo + F.col("bin") * width, 6).alias("bin_end"),
+        rnd(lo + (F.col("bin") - 1) * width, 6).alias("bin_start"),
+        rnd(lo + F.col("bin") * width, 6).alias("bin_end"),
         "total", "flagged",
     )
 
@@ -420,7 +422,7 @@ def batch_summary(looked_up: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("requested"),
         F.count_if(F.col("error").isNull()).alias("succeeded"),
         F.count_if(F.col("error").isNotNull()).alias("failed"),
-    ).withColumn("success_pct", F.round(F.col("succeeded") * 100.0 / F.nullif(F.col("requested"), F.lit(0)), 6))
+    ).withColumn("success_pct", rnd(F.col("succeeded") * 100.0 / F.nullif(F.col("requested"), F.lit(0)), 6))
 
 
 def risk_counts(scored: DataFrame) -> DataFrame:
@@ -434,6 +436,6 @@ def high_risk_kpis(scored: DataFrame, threshold: float = rf.HIGH_RISK_SCAN_THRES
     hr = F.col("churn_probability") >= threshold
     return scored.agg(
         F.count_if(hr).alias("n_high_risk"),
-        F.round(F.avg(F.when(hr, F.col("churn_probability"))), 6).alias("avg_probability"),
-        F.round(F.sum(F.when(hr, F.col("monthly_charges")).otherwise(0.0)), 4).alias("revenue_at_risk"),
+        rnd(F.avg(F.when(hr, F.col("churn_probability"))), 6).alias("avg_probability"),
+        rnd(F.sum(F.when(hr, F.col("monthly_charges")).otherwise(0.0)), 4).alias("revenue_at_risk"),
     )

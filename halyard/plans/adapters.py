@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.functions.numeric import rnd
+
 from halyard.functions import calendar as cal
 from halyard.functions import text as tx
 from halyard.sources.io import read_table
@@ -61,8 +63,8 @@ def customer_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(4) * (F.col("n_orders") - 1)).cast("int").alias("tenure_months"),
         _contract_from_segment(F.col("c_mktsegment")).alias("subscription_type"),
         F.when(F.col("c_custkey") % 4 == 0, "Electronic check").otherwise("Credit card").alias("payment_method"),
-        F.round(F.col("tot") / F.col("n_orders") / CHARGE_SCALE, 2).alias("monthly_charges"),
-        F.round(F.col("tot") / CHARGE_SCALE, 2).alias("total_charges"),
+        rnd(F.col("tot") / F.col("n_orders") / CHARGE_SCALE, 2).alias("monthly_charges"),
+        rnd(F.col("tot") / CHARGE_SCALE, 2).alias("total_charges"),
         (F.datediff(F.to_date(gmax), F.to_date("last_dt")) > CHURN_RECENCY_DAYS).alias("churn_status"),
     )
 
@@ -128,10 +130,10 @@ def daily_demand(spark: SparkSession, sf_dir: str, series: str = "segment") -> D
     )
     return dd.select(
         "series_id", "ds", "y",
-        F.round("revenue_raw", 2).alias("revenue"),
-        F.round(F.col("revenue_raw") / F.col("y"), 6).alias("avg_order_value"),
-        F.round(F.coalesce(F.col("sd") / F.col("nl"), F.lit(0.0)), 6).alias("discount_pct"),
-        F.round(F.coalesce(F.col("spend"), F.lit(0.0)), 2).alias("marketing_spend"),
+        rnd("revenue_raw", 2).alias("revenue"),
+        rnd(F.col("revenue_raw") / F.col("y"), 6).alias("avg_order_value"),
+        rnd(F.coalesce(F.col("sd") / F.col("nl"), F.lit(0.0)), 6).alias("discount_pct"),
+        rnd(F.coalesce(F.col("spend"), F.lit(0.0)), 2).alias("marketing_spend"),
         cal.day_of_week("ds").alias("day_of_week"),
         F.weekofyear("ds").alias("week_of_year"),
         F.month("ds").alias("month"),

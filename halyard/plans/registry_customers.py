@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.functions.numeric import rnd
+
 from halyard.functions import calendar as cal
 from halyard.functions import risk as rf
 from halyard.operators import customers as cu
@@ -54,7 +56,7 @@ def _features(spark, d):
 
 
 def b08_avg_charges_per_month(spark, d):
-    return _features(spark, d).select("customer_id", F.round("avg_charges_per_month", 6).alias("avg_charges_per_month"))
+    return _features(spark, d).select("customer_id", rnd("avg_charges_per_month", 6).alias("avg_charges_per_month"))
 
 
 def b09_tenure_group(spark, d):
@@ -80,8 +82,8 @@ def b13_senior_with_family(spark, d):
 def b14_interactions(spark, d):
     return _features(spark, d).select(
         "customer_id", "contract_tenure_interaction",
-        F.round("charges_tenure_ratio", 6).alias("charges_tenure_ratio"),
-        F.round("customer_value_proxy", 6).alias("customer_value_proxy"))
+        rnd("charges_tenure_ratio", 6).alias("charges_tenure_ratio"),
+        rnd("customer_value_proxy", 6).alias("customer_value_proxy"))
 
 
 MODEL_FEATURES = ["gender", "senior_citizen", "partner", "dependents", "tenure_months", "contract",
@@ -92,7 +94,7 @@ MODEL_FEATURES = ["gender", "senior_citizen", "partner", "dependents", "tenure_m
 def b15_align_features(spark, d):
     # 'phone_service' is not in the frame: aligned as 0 like any missing column
     out = cu.align_features(_features(spark, d), MODEL_FEATURES)
-    return out.withColumn("avg_charges_per_month", F.round("avg_charges_per_month", 6))
+    return out.withColumn("avg_charges_per_month", rnd("avg_charges_per_month", 6))
 
 
 def _scored(spark, d):
@@ -187,8 +189,8 @@ def d02_load_summary(spark, d):
         F.count(F.lit(1)).alias("n_days"),
         F.min("ds").alias("first_day"),
         F.max("ds").alias("last_day"),
-        F.round(F.avg("y"), 6).alias("avg_orders"),
-        F.round(F.avg("revenue"), 4).alias("avg_revenue"),
+        rnd(F.avg("y"), 6).alias("avg_orders"),
+        rnd(F.avg("revenue"), 4).alias("avg_revenue"),
     )
 
 
