@@ -71,3 +71,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for a written table."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def spread_partitions(df, min_partitions: int | None = None):
+    """Round-robin ``df`` over at least ``min_partitions`` tasks (default:
+    the session's parallelism) when its scan yields fewer.
+
+    For CPU-heavy per-row work (tokenising long texts) a single-row-group
+    file would otherwise be processed by one task. On a cluster, input
+    splits already exceed the parallelism and this is a no-op.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
