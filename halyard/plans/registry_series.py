@@ -143,5 +143,41 @@ def i13_residual_interval(spark, d):
         fe.tail_mean_forecast(reg, ts.future_dates(reg, HORIZON), 30), "series_id")
 
 
+def i08_additive_forecast(spark, d):
+    from halyard.operators import forecast_models as fm
+
+    return fm.additive_forecast(_dd(spark, d), HORIZON)
+
+
+def i09_forecast_components(spark, d):
+    from halyard.operators import forecast_models as fm
+
+    return fm.additive_forecast(_dd(spark, d), HORIZON, components=True)
+
+
+def i10_arima_forecast(spark, d):
+    from halyard.operators import forecast_models as fm
+
+    return fm.arima_forecast(_dd(spark, d), HORIZON)
+
+
+def i11_window_forecast(spark, d):
+    from halyard.operators import forecast_models as fm
+
+    return fm.window_forecast(_dd(spark, d), HORIZON)
+
+
+def i12_forecast_select(spark, d):
+    from halyard.operators import forecast_models as fm
+
+    return fm.forecast_best(_dd(spark, d), HORIZON, HOLDOUT)
+
+
+def i12b_model_leaderboard(spark, d):
+    from halyard.operators import forecast_models as fm
+
+    return fm.holdout_evaluation(_dd(spark, d), HOLDOUT)
+
+
 QUERIES = {name: fn for name, fn in list(globals().items())
            if callable(fn) and name[:1] in "bcdegi" and name[1:3].isdigit()}
