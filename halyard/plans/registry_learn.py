@@ -109,10 +109,21 @@ def a06_json_artifacts(spark, d):
 
 
 # ------------------------------------------------------------- learning
+_FEATURE_TABLES: dict = {}
+
+
 def _features(spark, d):
-    feats = cu.engineer_features(ad.customer_base(spark, d))
-    split = ev.stratified_split(feats, "customer_id", "churn", 0.8)
-    return ln.with_class_weights(split)
+    """The split, weighted feature table, written once per session to the
+    shared checkpoint folder: iterative fits then read a short lineage
+    (and survive lost executors) instead of recomputing joins per step."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FEATURE_TABLES:
+        feats = cu.engineer_features(ad.customer_base(spark, d))
+        split = ev.stratified_split(feats, "customer_id", "churn", 0.8)
+        path = _scratch(spark, "churn_features")
+        io.write_parquet(ln.with_class_weights(split), path)
+        _FEATURE_TABLES[key] = path
+    return spark.read.parquet(_FEATURE_TABLES[key])
 
 
 def _train_test(spark, d):
@@ -184,5 +195,29 @@ def f06_top_features(spark, d):
     return ln.top_features(spark, model, ln.ADVANCED_FEATURES, 10)
 
 
+def k01_stream_score(spark, d):
+    from halyard.streaming import jobs
+
+    train, _ = _train_test(spark, d)
+    model = ln.logistic_pipeline().fit(train)
+    feats = cu.engineer_features(ad.customer_base(spark, d)).select("customer_id", *ln.BASE_FEATURES)
+    src, sink, ck = _scratch(spark, "k1_src"), _scratch(spark, "k1_sink"), _scratch(spark, "k1_ckpt")
+    feats.repartition(4).write.mode("overwrite").parquet(src)
+    q = jobs.stream_score(spark, model, src, feats.schema, sink, ck)
+    q.awaitTermination()
+    return spark.read.parquet(sink)
+
+
+def k02_stream_sentiment_timeline(spark, d):
+    from halyard.streaming import jobs
+
+    ev = ad.event_sentiment(spark, d).select("event_id", "ts", "sentiment_score", "sentiment_label")
+    src, sink, ck = _scratch(spark, "k2_src"), _scratch(spark, "k2_sink"), _scratch(spark, "k2_ckpt")
+    ev.repartition(4).write.mode("overwrite").parquet(src)
+    q = jobs.stream_sentiment_timeline(spark, src, ev.schema, sink, ck, period="1 day", watermark="2 days")
+    q.awaitTermination()
+    return jobs.read_timeline(spark, sink)
+
+
 QUERIES = {name: fn for name, fn in list(globals().items())
            if callable(fn) and name[:1] in "adefik" and name[1:3].isdigit()}
