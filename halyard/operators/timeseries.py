@@ -163,3 +163,23 @@ def with_regressors(future: DataFrame, supplied: DataFrame, history: DataFrame,
     cols += [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in flags]
     cols += [F.coalesce(F.col(n), F.avg(n).over(wf), F.col(f"_tail_{n}")).alias(n) for n in numerics]
     return j.select(*cols)
+
+
+def describe(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Count / mean / std / min / quartiles / max per column, long form.
+
+    Quartiles are exact (linear interpolation). Meant for daily aggregates,
+    whose size is bounded by the date span; use ``percentile_approx`` for
+    raw-row columns at scale.
+    """
+    aggs = []
+    for c in cols:
+        x = F.col(c).cast("double")
+        q = F.percentile(x, [0.25, 0.5, 0.75])
+        aggs.append(F.struct(
+            F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+            F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"),
+            F.max(x).alias("max")).alias(c))
+    wide = df.agg(*aggs)
+    stack = ", ".join(f"'{c}', `{c}`" for c in cols)
+    return wide.selectExpr(f"stack({len(cols)}, {stack}) as (column, s)").select("column", "s.*")

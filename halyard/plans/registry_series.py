@@ -102,6 +102,14 @@ def d30_pick_best_model(spark, d):
     return fe.pick_best_model(fe.forecast_metrics(fc, test), priority=STAND_INS)
 
 
+DESCRIBE_COLS = ["y", "revenue", "avg_order_value", "marketing_spend", "discount_pct"]
+
+
+def d35_describe(spark, d):
+    out = ts.describe(_dd(spark, d), DESCRIBE_COLS)
+    return out.select("column", "count", *[rnd(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
 def e02_event_carryover(spark, d):
     return ts.event_carryover(_dd(spark, d))
 

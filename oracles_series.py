@@ -134,6 +134,11 @@ best AS (
     'Prophet') AS best_model FROM lb GROUP BY 1
 )
 SELECT lb.*, best.best_model, lb.model = best.best_model AS is_best FROM lb JOIN best ON lb.series_id = best.series_id"""),
+    "d35_describe": _w(DD, "\n" + "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
+        f"round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, "
+        f"round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS max FROM dd"
+        for c in ("y", "revenue", "avg_order_value", "marketing_spend", "discount_pct"))),
     "e02_event_carryover": _w(DD, f"""
 SELECT series_id, ds, lag(is_holiday OR is_promo, 1, false) OVER (PARTITION BY series_id ORDER BY ds) AS carryover,
   CASE WHEN lag(is_holiday OR is_promo, 1, false) OVER (PARTITION BY series_id ORDER BY ds)
