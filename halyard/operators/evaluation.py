@@ -28,16 +28,16 @@ def bucketed_prefix_sums(df: DataFrame, order_col: str, value_cols: list[str], n
     """Exclusive prefix sums of ``value_cols`` in ascending ``order_col``
     order (``order_col`` must be unique, e.g. after a group-by).
 
-    Rows are split into quantile buckets of ``order_col`` (boundaries are
-    n_buckets scalars), bucket totals are prefix-summed on a tiny table and
-    broadcast back, and each bucket's running sums are computed in
-    parallel.
+    Rows are split into approximate-quantile buckets of ``order_col`` (the
+    n_buckets - 1 boundaries are one scalar subquery, no driver action),
+    bucket totals are prefix-summed on a tiny table and broadcast back, and
+    each bucket's running sums are computed in parallel.
     """
     qs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = sorted(set(b for b in df.approxQuantile(order_col, qs, 0.001) if b is not None))
-    arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    bucket = F.size(F.filter(arr, lambda b: b < F.col(order_col)))
-    x = df.withColumn("_b", bucket)
+    bounds = df.agg(F.percentile_approx(F.col(order_col).cast("double"), qs, 10000)).scalar()
+    # the subquery is projected first: it may not sit inside a lambda
+    x = df.withColumn("_bounds", bounds)
+    x = x.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(order_col)))).drop("_bounds")
     totals = x.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
     wt = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wt), F.lit(0)).alias(f"_o_{c}") for c in value_cols])
@@ -48,24 +48,37 @@ def bucketed_prefix_sums(df: DataFrame, order_col: str, value_cols: list[str], n
 
 
 # ------------------------------------------------------------ metrics
+def _score_counts(scored: DataFrame, p: str, label: str) -> DataFrame:
+    """One row per distinct score with its positive / negative counts: the
+    single pass over raw rows that every metric below derives from."""
+    return scored.groupBy(F.col(p).cast("double").alias("_p")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"),
+        F.count_if(F.col(label) == 0).alias("neg0"))
+
+
+def _auc_from_counts(by_p: DataFrame) -> DataFrame:
+    pre = bucketed_prefix_sums(by_p.select("_p", "pos", F.col("neg0").alias("n0")), "_p", ["n0"])
+    return pre.agg(
+        (F.sum(F.col("pos") * (F.col("before_n0") + F.col("n0") * 0.5))
+         / F.nullif(F.sum("pos") * F.sum("n0"), F.lit(0))).alias("auc"))
+
+
 def exact_auc(scored: DataFrame, p: str = "churn_probability", label: str = "label") -> DataFrame:
     """Area under the ROC curve with ties counted half (Mann-Whitney)."""
-    by_p = scored.groupBy(F.col(p).cast("double").alias("_p")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    pre = bucketed_prefix_sums(by_p, "_p", ["neg"])
-    return pre.agg(
-        (F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") * 0.5))
-         / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    return _auc_from_counts(_score_counts(scored, p, label))
 
 
 def classification_metrics(scored: DataFrame, p: str = "churn_probability", label: str = "label",
                            threshold: float = 0.5) -> DataFrame:
-    """Accuracy, precision, recall, F1 at ``threshold`` and exact AUC."""
-    pred = F.col(p) >= threshold
-    y = F.col(label) == 1
-    c = scored.agg(
-        F.count_if(pred & y).alias("tp"), F.count_if(pred & ~y).alias("fp"),
-        F.count_if(~pred & y).alias("fn"), F.count_if(~pred & ~y).alias("tn"),
+    """Accuracy, precision, recall, F1 at ``threshold`` and exact AUC,
+    all derived from the per-score counts (one pass over the rows)."""
+    by_p = _score_counts(scored, p, label)
+    pred = F.col("_p") >= threshold
+    c = by_p.agg(
+        F.sum(F.when(pred, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(pred, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~pred | F.col("_p").isNull(), F.col("pos")).otherwise(0)).alias("fn"),
+        F.sum(F.when(~pred | F.col("_p").isNull(), F.col("neg")).otherwise(0)).alias("tn"),
     )
     prec = F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0))
     rec = F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))
@@ -76,7 +89,7 @@ def classification_metrics(scored: DataFrame, p: str = "churn_probability", labe
         rnd(F.coalesce(rec, F.lit(0.0)), 6).alias("recall"),
         rnd(F.coalesce(2 * prec * rec / F.nullif(prec + rec, F.lit(0.0)), F.lit(0.0)), 6).alias("f1"),
     )
-    auc = exact_auc(scored, p, label).select(rnd("auc", 6).alias("auc"))
+    auc = _auc_from_counts(by_p).select(rnd("auc", 6).alias("auc"))
     return m.crossJoin(auc)  # 1 row x 1 row
 
 
@@ -91,13 +104,16 @@ def threshold_sweep(scored: DataFrame, p: str = "churn_probability", label: str
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     spark = scored.sparkSession
     tdf = spark.createDataFrame([(j, float(t)) for j, t in enumerate(thr)], "j int, threshold double")
+    # total positives: a window over the <= 17 histogram rows (no second pass)
+    hist = hist.withColumn("_total_pos", F.sum("pos").over(W.partitionBy()))
     # bounded join: <= len(thr) x (len(thr) + 1) aggregated rows
     j = F.broadcast(tdf).join(hist, F.col("_i") > F.col("j"), "left")
     agg = j.groupBy("j", "threshold").agg(
         F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("neg"), F.lit(0)).alias("fp"))
-    total_pos = hist.agg(F.sum("pos")).scalar()
+    totals = hist.agg(F.coalesce(F.max("_total_pos"), F.lit(0)).alias("total_pos"))
+    agg = agg.crossJoin(totals)  # 16 rows x 1 row
     tp, fp = F.col("tp"), F.col("fp")
-    fn = total_pos - tp
+    fn = F.col("total_pos") - tp
     return agg.select(
         "threshold",
         rnd(F.coalesce(tp / F.nullif(tp + fp, F.lit(0)), F.lit(0.0)), 6).alias("precision"),
