@@ -103,15 +103,18 @@ def additive_design(frame: DataFrame) -> tuple[DataFrame, dict]:
         cols[f"reg_{r}"] = F.when(sd > 0, (F.col(r) - F.col(f"_m_{r}")) / sd).otherwise(F.lit(0.0))
     blocks["regressors"] = [f"reg_{r}" for r in REGRESSORS]
     x = x.withColumns(cols)
-    # windowed holidays: range join turned equi-join over the expanded calendar
-    years = x.agg(F.min(F.year("ds")).alias("a"), F.max(F.year("ds")).alias("b"))
-    calendar = ts.holiday_calendar(spark, years.select("a").scalar(), years.select("b").scalar())
+    # windowed holidays: each holiday is expanded over its window days into a
+    # (ds -> indicator columns) table bounded by events x years x width; it
+    # is pivoted on its own and broadcast, so the design frame is not re-read
+    span = frame.agg(F.struct(F.min(F.year("ds")).alias("a"), F.max(F.year("ds")).alias("b"))).scalar()
+    calendar = ts.holiday_calendar(spark, span.getField("a"), span.getField("b"))
     names = _holiday_names()
-    hol = ts.holiday_window_join(x.select(KEY, "ds").distinct(), calendar)
-    hol = hol.groupBy(KEY, "ds").pivot("holiday", names).agg(F.max(F.lit(1.0)))
+    days = calendar.select("holiday", F.explode(F.sequence("lower_window", "upper_window")).alias("o"),
+                           F.col("ds").alias("hds")).select("holiday", F.date_add("hds", F.col("o")).alias("ds"))
+    hol = days.groupBy("ds").pivot("holiday", names).agg(F.max(F.lit(1.0)))
     hcols = [f"hol_{i}" for i in range(len(names))]
-    hol = hol.select(KEY, "ds", *[F.col(f"`{n}`").alias(h) for n, h in zip(names, hcols)])
-    x = x.join(hol, [KEY, "ds"], "left").fillna(0.0, subset=hcols)
+    hol = hol.select("ds", *[F.col(f"`{n}`").alias(h) for n, h in zip(names, hcols)])
+    x = x.join(F.broadcast(hol), "ds", "left").fillna(0.0, subset=hcols)
     blocks["holidays"] = hcols
     keep = [KEY, "ds", "y", "is_future"] + [c for b in blocks.values() for c in b]
     return x.select(*keep), blocks
