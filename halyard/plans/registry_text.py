@@ -83,7 +83,7 @@ def d25_sentiment_timeline(spark, d):
     return _r6(_fb_timeline(spark, d), TL_FLOATS)
 
 
-def d25b_event_timeline_monthly(spark, d):
+def d25b_sentiment_timeline_monthly(spark, d):
     return _r6(st.sentiment_timeline(_fb(spark, d), "M"), TL_FLOATS)
 
 
@@ -176,6 +176,12 @@ def j06_tfidf_search(spark, d):
     return se.tfidf_search(postings, vocab, _bench_queries(spark, d), k=TOP_K)
 
 
+def j06b_tfidf_search_filtered(spark, d):
+    docs = read_table(spark, d, "documents")
+    postings, vocab = _index(spark, d)
+    return se.tfidf_search(postings, vocab, _bench_queries(spark, d), k=TOP_K, docs=docs, filters={"lang": "en"})
+
+
 def _centroid_queries(spark, d):
     emb = read_table(spark, d, "embeddings")
     return se.centroids(emb, "label").select(F.col("label").alias("query_id"), F.col("embedding").alias("query_vector"))

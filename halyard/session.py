@@ -62,8 +62,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="halyard-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    try:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # sessions without a local SparkContext (Spark Connect)
+        pass
     return path
 
 
@@ -81,8 +84,11 @@ def spread_partitions(df, min_partitions: int | None = None):
     file would otherwise be processed by one task. On a cluster, input
     splits already exceed the parallelism and this is a no-op.
     """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+    try:
+        spark = df.sparkSession
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            return df.repartition(target)
+    except Exception:  # no RDD access (Spark Connect): leave the layout to AQE
+        pass
     return df

@@ -123,7 +123,7 @@ UNION ALL SELECT 'channel', channel, count(*) FROM fb GROUP BY 2"""),
 SELECT count(*) AS n_recent, round(avg(CAST(sentiment_label = 'negative' AS DOUBLE)) * 100, 1) AS negative_pct
 FROM fb WHERE created_at >= (SELECT max(created_at) FROM fb) - INTERVAL 30 DAY"""),
     "d25_sentiment_timeline": _w(FB + TL.format(unit="week", src="fb"), TL_SELECT),
-    "d25b_event_timeline_monthly": _w(FB + TL.format(unit="month", src="fb"), TL_SELECT),
+    "d25b_sentiment_timeline_monthly": _w(FB + TL.format(unit="month", src="fb"), TL_SELECT),
     "e01_rolling_mean": _w(EV + ",\nevc AS (SELECT *, ts AS created_at FROM ev)" + TL.format(unit="day", src="evc"), """
 SELECT period, round(net_sentiment, 6) AS net_sentiment, round(trend, 6) AS trend, total_count FROM tl"""),
     "d26_detect_trend": _w(FB + TL.format(unit="week", src="fb"), """,
@@ -183,6 +183,10 @@ SELECT feedback_id,
 FROM s"""),
     "j05_tfidf_index": _w(INDEX, "SELECT doc_id, term, round(weight, 6) AS weight FROM post"),
     "j06_tfidf_search": _w(TFIDF_SEARCH, """
+SELECT query_id, doc_id, round(s, 4) AS similarity_score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10"""),
+    "j06b_tfidf_search_filtered": _w(TFIDF_SEARCH.replace(
+        "FROM qw JOIN post p ON qw.term = p.term",
+        "FROM qw JOIN post p ON qw.term = p.term WHERE p.doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"), """
 SELECT query_id, doc_id, round(s, 4) AS similarity_score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10"""),
     "j07_vector_search": _w(VECTOR, """
 SELECT query_id, vec_id, label, round(s, 4) AS similarity, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10"""),

@@ -275,3 +275,30 @@ def test_vector_search_zero_vector_and_recall(spark):
 def test_dedup_keeps_lowest_id(spark):
     docs = spark.createDataFrame([(5, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
     assert sorted(tuple(r) for r in se.dedup_text(docs).collect()) == [(2, "a"), (3, "b")]
+
+
+def test_tfidf_search_applies_filters(spark):
+    docs = spark.createDataFrame([(1, "red apple pie", "en"), (2, "red apple", "fr"), (3, "red car", "en")],
+                                 "doc_id long, text string, lang string")
+    post, vocab = se.tfidf_index(docs)
+    q = spark.createDataFrame([(1, "red apple")], "query_id long, query string")
+    got = se.tfidf_search(post, vocab, q, k=5, docs=docs, filters={"lang": "en"}).collect()
+    assert {r.doc_id for r in got} == {1, 3}
+
+
+def test_hot_key_groups_stay_exact(spark):
+    """One customer holds a third of all orders: the rollup, the customer
+    base and the dedup stay exact (partial aggregation absorbs the key)."""
+    from halyard.operators.search import dedup_text
+
+    n = 3000
+    rows = [(i, 7 if i % 3 == 0 else i, float(i % 50), dt.datetime(2020, 1, 1) + dt.timedelta(days=i % 700)) for i in range(n)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz")
+    roll = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("tot"))
+    hot = roll.filter("o_custkey = 7").first()
+    assert hot.n == 1000 + (1 if 7 % 3 else 0) and hot.tot == pytest.approx(sum(r[2] for r in rows if r[1] == 7))
+    plan = roll._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan
+    docs = spark.createDataFrame([(i, "same text" if i % 3 == 0 else f"t{i}") for i in range(n)], "doc_id long, text string")
+    d = {r.text: r.doc_id for r in dedup_text(docs).collect()}
+    assert d["same text"] == 0 and len(d) == 1 + (n - 1000)
