@@ -99,14 +99,12 @@ def encode_categoricals(cb: DataFrame) -> DataFrame:
     )
 
 
-def median_monthly(cb: DataFrame):
-    """Training median of monthly charges as a scalar subquery column."""
-    return cb.agg(F.percentile("monthly_charges", 0.5)).scalar()
-
-
-def monthly_range(cb: DataFrame):
-    """(min, max) of monthly charges as scalar subquery columns."""
-    return (cb.agg(F.min("monthly_charges")).scalar(), cb.agg(F.max("monthly_charges")).scalar())
+def monthly_stats(cb: DataFrame):
+    """Training median, min and max of monthly charges: ONE scalar subquery
+    returning a struct (a single extra pass, not one per statistic)."""
+    return cb.agg(F.struct(F.percentile("monthly_charges", 0.5).alias("median"),
+                           F.min("monthly_charges").alias("min"),
+                           F.max("monthly_charges").alias("max"))).scalar()
 
 
 def engineer_features(cb: DataFrame, high_value_cut=None, charge_min=None, charge_max=None) -> DataFrame:
@@ -116,13 +114,13 @@ def engineer_features(cb: DataFrame, high_value_cut=None, charge_min=None, charg
     (training behaviour); scoring passes the persisted training values.
     """
     enc = encode_categoricals(cb)
-    cut = high_value_cut if high_value_cut is not None else median_monthly(cb)
-    if charge_min is None or charge_max is None:
-        charge_min, charge_max = monthly_range(cb)
-    lo = charge_min if isinstance(charge_min, F.Column) else F.lit(float(charge_min))
-    hi = charge_max if isinstance(charge_max, F.Column) else F.lit(float(charge_max))
-    cut = cut if isinstance(cut, F.Column) else F.lit(float(cut))
-    return enc.withColumns({
+    need_stats = high_value_cut is None or charge_min is None or charge_max is None
+    if need_stats:
+        enc = enc.withColumn("_stats", monthly_stats(cb))
+    cut = F.col("_stats.median") if high_value_cut is None else F.lit(float(high_value_cut))
+    lo = F.col("_stats.min") if charge_min is None else F.lit(float(charge_min))
+    hi = F.col("_stats.max") if charge_max is None else F.lit(float(charge_max))
+    out = enc.withColumns({
         "avg_charges_per_month": cf.avg_charges_per_month("total_charges", "tenure_months"),
         "tenure_group": cf.tenure_group("tenure_months"),
         "tenure_group_detailed": cf.tenure_group_detailed("tenure_months"),
@@ -133,6 +131,7 @@ def engineer_features(cb: DataFrame, high_value_cut=None, charge_min=None, charg
         "charges_tenure_ratio": cf.charges_tenure_ratio("monthly_charges", "tenure_months"),
         "customer_value_proxy": cf.customer_value_proxy("tenure_months", "monthly_charges"),
     })
+    return out.drop("_stats") if need_stats else out
 
 
 def align_features(df: DataFrame, feature_cols: list[str], keep: tuple[str, ...] = ("customer_id",)) -> DataFrame:
@@ -399,19 +398,21 @@ def histogram_fixed(cb: DataFrame) -> DataFrame:
 def histogram_equal_width(df: DataFrame, col: str, n_bins: int = 24, flag: str = "churn_status") -> DataFrame:
     """Equal-width histogram over [min, max]; the max lands in the
     last bin. Global min/max are scalar subqueries (one tiny job)."""
-    lo = df.agg(F.min(col)).scalar()
-    hi = df.agg(F.max(col)).scalar()
-    x = F.col(col).cast("double")
+    rng = df.agg(F.struct(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))).scalar()
+    x = df.filter(F.col(col).isNotNull()).withColumn("_r", rng)
+    lo, hi = F.col("_r.lo"), F.col("_r.hi")
+    v = F.col(col).cast("double")
     # width_bucket semantics, with x == max clamped into the last bin
     wb = F.when(hi == lo, F.lit(1)).otherwise(
-        F.least(F.lit(n_bins), F.floor((x - lo) / ((hi - lo) / F.lit(float(n_bins)))) + 1))
-    g = df.filter(F.col(col).isNotNull()).groupBy(wb.cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col(flag)).alias("flagged"))
-    width = (hi - lo) / F.lit(float(n_bins))
+        F.least(F.lit(n_bins), F.floor((v - lo) / ((hi - lo) / F.lit(float(n_bins)))) + 1))
+    g = x.groupBy(wb.cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col(flag)).alias("flagged"),
+        F.first("_r.lo").alias("_lo"), F.first("_r.hi").alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(n_bins))
     return g.select(
         "bin",
-        rnd(lo + (F.col("bin") - 1) * width, 6).alias("bin_start"),
-        rnd(lo + F.col("bin") * width, 6).alias("bin_end"),
+        rnd(F.col("_lo") + (F.col("bin") - 1) * width, 6).alias("bin_start"),
+        rnd(F.col("_lo") + F.col("bin") * width, 6).alias("bin_end"),
         "total", "flagged",
     )
 
