@@ -40,9 +40,10 @@ def postprocess(df: DataFrame) -> DataFrame:
     })
 
 
-def residual_interval(point: DataFrame, sigma: DataFrame, model: str) -> DataFrame:
-    """Yhat (clipped at 0) +- 1.645 sigma per series, lower clipped."""
-    j = point.join(sigma.select(KEY, "sigma"), KEY, "left")
+def residual_interval(point: DataFrame, sigma: DataFrame | None, model: str) -> DataFrame:
+    """Yhat (clipped at 0) +- 1.645 sigma per series, lower clipped.
+    ``sigma=None`` means ``point`` already carries a ``sigma`` column."""
+    j = point if sigma is None else point.join(sigma.select(KEY, "sigma"), KEY, "left")
     yhat = F.greatest(F.col("yhat"), F.lit(0.0))
     margin = F.lit(Z90) * F.coalesce(F.col("sigma"), F.lit(FALLBACK_SIGMA))
     out = j.select(KEY, "ds", yhat.alias("yhat"), (yhat - margin).alias("yhat_lower"),
@@ -50,21 +51,32 @@ def residual_interval(point: DataFrame, sigma: DataFrame, model: str) -> DataFra
     return postprocess(out)
 
 
+def _sigma_col() -> F.Column:
+    return F.when(F.col("n_rows") > MIN_ROWS_FOR_SIGMA, F.col("tail_sigma")).otherwise(F.lit(FALLBACK_SIGMA))
+
+
 def tail_sigma(history: DataFrame, k_std: int = 60) -> DataFrame:
     """Residual scale: 0.5 x std of the last ``k_std`` rows when the series
     has more than 30 rows, else the fallback constant."""
-    st = ts.tail_stats(history, k_mean=k_std, k_std=k_std)
-    n = history.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
-    return st.join(n, KEY).select(
-        KEY, F.when(F.col("_n") > MIN_ROWS_FOR_SIGMA, F.col("tail_sigma")).otherwise(F.lit(FALLBACK_SIGMA)).alias("sigma"))
+    return ts.tail_profile(history, (), k_std).select(KEY, _sigma_col().alias("sigma"))
+
+
+def tail_mean_forecasts(history: DataFrame, dates: DataFrame, ks=(30,)) -> DataFrame:
+    """Fallback forecasters: for each k, the mean of the last k rows for
+    every requested date, with the residual interval of I13. One tail
+    profile serves every k."""
+    prof = ts.tail_profile(history, ks, 60).select(
+        KEY, *[F.col(f"mean_{k}") for k in ks], _sigma_col().alias("sigma"))
+    d = dates.select(KEY, "ds").join(prof, KEY, "inner")
+    parts = [residual_interval(d.select(KEY, "ds", F.col(f"mean_{k}").alias("yhat"), "sigma"), None, f"tail_mean_{k}")
+             for k in ks]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def tail_mean_forecast(history: DataFrame, dates: DataFrame, k: int = 30, name: str | None = None) -> DataFrame:
-    """Fallback forecaster: the mean of the last ``k`` rows for every
-    requested date, with the residual interval of I13."""
-    st = ts.tail_stats(history, k_mean=k, k_std=60).select(KEY, F.col("tail_mean").alias("yhat"))
-    point = dates.select(KEY, "ds").join(st, KEY, "inner")
-    return residual_interval(point, tail_sigma(history), name or f"tail_mean_{k}")
+    """Fallback forecaster for one k (see ``tail_mean_forecasts``)."""
+    out = tail_mean_forecasts(history, dates, (k,))
+    return out if name is None else out.withColumn("model", F.lit(name))
 
 
 def union_forecasts(*frames: DataFrame) -> DataFrame:

@@ -52,18 +52,31 @@ def event_carryover(df: DataFrame) -> DataFrame:
         "lift", F.when(F.col("carryover"), F.lit(cal.CARRYOVER_LIFT)).otherwise(F.lit(1.0)))
 
 
-def tail_stats(df: DataFrame, k_mean: int = 30, k_std: int = 60, value: str = "y") -> DataFrame:
-    """Per series mean of the last ``k_mean`` rows and half the sample
-    std of the last ``k_std`` rows (the residual scale of the window model)."""
-    rn = F.row_number().over(_w(desc=True))
-    x = df.select(KEY, value, rn.alias("_rn")).filter(F.col("_rn") <= max(k_mean, k_std))
+def tail_profile(df: DataFrame, ks=(30,), k_std: int = 60, value: str = "y") -> DataFrame:
+    """Per series, in ONE windowed aggregate: the mean of the last k rows
+    for every k in ``ks`` (columns ``mean_<k>``), half the sample std of the
+    last ``k_std`` rows (``tail_sigma``), the rows kept (``n_tail``) and the
+    series length (``n_rows``)."""
+    w = _w(desc=True)
+    x = df.select(KEY, value, F.row_number().over(w).alias("_rn"),
+                  F.count(F.lit(1)).over(W.partitionBy(KEY)).alias("_n"))
+    x = x.filter(F.col("_rn") <= max(list(ks) + [k_std]))
     return x.groupBy(KEY).agg(
-        F.avg(F.when(F.col("_rn") <= k_mean, F.col(value))).alias("tail_mean"),
+        *[F.avg(F.when(F.col("_rn") <= k, F.col(value))).alias(f"mean_{k}") for k in ks],
         (F.stddev_samp(F.when(F.col("_rn") <= k_std, F.col(value))) * 0.5).alias("tail_sigma"),
         F.max("_rn").alias("n_tail"),
+        F.max("_n").alias("n_rows"),
     )
 
 
+def tail_stats(df: DataFrame, k_mean: int = 30, k_std: int = 60, value: str = "y") -> DataFrame:
+    """Per series mean of the last ``k_mean`` rows and half the sample
+    std of the last ``k_std`` rows (the residual scale of the window model)."""
+    p = tail_profile(df, (k_mean,), k_std, value)
+    return p.select(KEY, F.col(f"mean_{k_mean}").alias("tail_mean"), "tail_sigma",
+                    F.least(F.col("n_tail"), F.lit(max(k_mean, k_std))).alias("n_tail"))
+
+
 def supervised_windows(reg: DataFrame, lookback: int, horizon: int, value: str = "y") -> DataFrame:
     """Every complete (lookback, horizon) pair of a regular daily series.
 

@@ -45,14 +45,14 @@ def _future(spark, d):
 def _stand_in_forecasts(spark, d):
     reg = _reg(spark, d)
     fut = ts.future_dates(reg, HORIZON)
-    return fe.union_forecasts(fe.tail_mean_forecast(reg, fut, 7), fe.tail_mean_forecast(reg, fut, 30))
+    return fe.tail_mean_forecasts(reg, fut, (7, 30))
 
 
 def _holdout_forecasts(spark, d):
     reg = ts.time_holdout(_reg(spark, d), HOLDOUT)
     train = reg.filter(F.col("split") == "train")
     test = reg.filter(F.col("split") == "test")
-    fc = fe.union_forecasts(fe.tail_mean_forecast(train, test, 7), fe.tail_mean_forecast(train, test, 30))
+    fc = fe.tail_mean_forecasts(train, test, (7, 30))
     return fc, test
 
 
