@@ -135,8 +135,8 @@ def pick_best_model(metrics: DataFrame, priority=MODEL_PRIORITY, default: str =
     ok = F.col("mape").isNotNull() & ~F.isnan("mape")
     w = W.partitionBy(KEY).orderBy(F.when(ok, 0).otherwise(1), F.col("mape").asc_nulls_last(), prio, F.col("model"))
     lb = metrics.withColumns({"rank": F.row_number().over(w), "_ok": ok})
-    # valid models sort first, so the best is rank 1 whenever one is valid
-    best = lb.groupBy(KEY).agg(
-        F.coalesce(F.max(F.when((F.col("rank") == 1) & F.col("_ok"), F.col("model"))),
-                   F.lit(default)).alias("best_model"))
-    return lb.drop("_ok").join(best, KEY).withColumn("is_best", F.col("model") == F.col("best_model"))
+    # valid models sort first, so the best is rank 1 whenever one is valid;
+    # a window over the (few) models of a series, not a group-by + join
+    best = F.max(F.when((F.col("rank") == 1) & F.col("_ok"), F.col("model"))).over(W.partitionBy(KEY))
+    lb = lb.withColumn("best_model", F.coalesce(best, F.lit(default))).drop("_ok")
+    return lb.withColumn("is_best", F.col("model") == F.col("best_model"))

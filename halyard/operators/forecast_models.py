@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from halyard.functions import calendar as cal
 from halyard.operators import forecast_eval as fe
 from halyard.operators import timeseries as ts
+from halyard.session import checkpoint_dir
 
 KEY = "series_id"
 Z90 = fe.Z90
@@ -131,6 +132,10 @@ def additive_forecast(dd: DataFrame, horizon: int = 30, components: bool = False
     """I8 (and I9 with ``components=True``): per-series ridge fit of the
     additive design; 90 % interval = yhat +- 1.645 residual std."""
     design, blocks = additive_design(model_frame(dd, horizon))
+    # the design frame feeds its own statistics and the per-series fits: a
+    # reliable checkpoint in the shared folder builds it once
+    checkpoint_dir(dd.sparkSession)
+    design = design.checkpoint(eager=True)
     feat_cols = [c for b in blocks.values() for c in b]
     names = list(blocks)
     comp_fields = [T.StructField(n, T.DoubleType()) for n in names]
@@ -332,7 +337,10 @@ def window_forecast(dd: DataFrame, horizon: int = 30, lookback: int = LOOKBACK,
     two doubly-residual random-feature blocks with trained linear heads;
     interval = yhat +- 1.645 * 0.5 * std(last 60 days)."""
     reg = ts.regularize_daily(dd).select(KEY, "ds", "y")
-    win = ts.supervised_windows(reg, lookback, horizon)
+    # both heads read the windows: a reliable checkpoint (shared folder) cuts
+    # their lineage so the windows are built once
+    checkpoint_dir(dd.sparkSession)
+    win = ts.supervised_windows(reg, lookback, horizon).checkpoint(eager=True)
     head1 = _solve_head(_gram_sums(win, lookback, horizon, seed, n_features, "forecast"))
 
     def apply_head(it, heads_cols=("w1",)):

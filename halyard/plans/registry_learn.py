@@ -13,6 +13,7 @@ from halyard.operators import evaluation as ev
 from halyard.operators import learn as ln
 from halyard.operators import sentiment as st
 from halyard.plans import adapters as ad
+from halyard.plans.materialize import materialized
 from halyard.session import scratch_path
 from halyard.sources import io
 
@@ -109,21 +110,15 @@ def a06_json_artifacts(spark, d):
 
 
 # ------------------------------------------------------------- learning
-_FEATURE_TABLES: dict = {}
-
-
 def _features(spark, d):
     """The split, weighted feature table, written once per session to the
     shared checkpoint folder: iterative fits then read a short lineage
     (and survive lost executors) instead of recomputing joins per step."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _FEATURE_TABLES:
+    def build():
         feats = cu.engineer_features(ad.customer_base(spark, d))
-        split = ev.stratified_split(feats, "customer_id", "churn", 0.8)
-        path = _scratch(spark, "churn_features")
-        io.write_parquet(ln.with_class_weights(split), path)
-        _FEATURE_TABLES[key] = path
-    return spark.read.parquet(_FEATURE_TABLES[key])
+        return ln.with_class_weights(ev.stratified_split(feats, "customer_id", "churn", 0.8))
+
+    return materialized(spark, f"churn_features:{d}", build)
 
 
 def _train_test(spark, d):
