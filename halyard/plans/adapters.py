@@ -69,9 +69,9 @@ def customer_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def customer_base_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_base_raw(spark: SparkSession, sf_dir: str, cb: DataFrame | None = None) -> DataFrame:
     """CB raw: the same customers as an all-text export with source names."""
-    cb = customer_base(spark, sf_dir)
+    cb = customer_base(spark, sf_dir) if cb is None else cb
     yn = lambda c: F.when(c, "Yes").otherwise("No")
     return cb.select(
         F.col("customer_id").cast("string").alias("customerID"),
@@ -94,9 +94,9 @@ def proxy_probability(customer_id) -> F.Column:
     return ((customer_id * F.lit(7919)) % F.lit(1000)) / F.lit(1000.0)
 
 
-def scored_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_customers(spark: SparkSession, sf_dir: str, cb: DataFrame | None = None) -> DataFrame:
     """CB plus the proxy probability as ``churn_probability``."""
-    cb = customer_base(spark, sf_dir)
+    cb = customer_base(spark, sf_dir) if cb is None else cb
     return cb.withColumn("churn_probability", proxy_probability(F.col("customer_id")))
 
 

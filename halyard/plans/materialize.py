@@ -35,3 +35,19 @@ def _has_context(spark: SparkSession) -> bool:
         return True
     except Exception:
         return False
+
+
+def customer_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer dimension (CB), derived from customers and orders once
+    per session and stored like the source's ``dim_customers`` table."""
+    from halyard.plans import adapters as ad
+
+    return materialized(spark, f"customer_base:{sf_dir}", lambda: ad.customer_base(spark, sf_dir))
+
+
+def daily_demand_fact(spark: SparkSession, sf_dir: str, series: str = "segment") -> DataFrame:
+    """The daily-demand fact (DD), one row per series and day, stored like
+    the source's ``fact_daily_demand`` table."""
+    from halyard.plans import adapters as ad
+
+    return materialized(spark, f"daily_demand:{series}:{sf_dir}", lambda: ad.daily_demand(spark, sf_dir, series))

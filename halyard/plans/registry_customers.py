@@ -11,6 +11,7 @@ from halyard.functions import calendar as cal
 from halyard.functions import risk as rf
 from halyard.operators import customers as cu
 from halyard.plans import adapters as ad
+from halyard.plans.materialize import customer_dimension, daily_demand_fact
 from halyard.sources.io import read_table
 
 LOOKUP_ID = 10
@@ -21,38 +22,38 @@ def a02_read_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def b01_clean_customers(spark, d):
-    return cu.clean_customers(ad.customer_base_raw(spark, d))
+    return cu.clean_customers(ad.customer_base_raw(spark, d, customer_dimension(spark, d)))
 
 
 def b02_coerce_numeric(spark, d):
-    return cu.coerce_numeric(ad.customer_base_raw(spark, d))
+    return cu.coerce_numeric(ad.customer_base_raw(spark, d, customer_dimension(spark, d)))
 
 
 def b03_coerce_or_zero(spark, d):
-    return cu.coerce_or_zero(ad.customer_base_raw(spark, d))
+    return cu.coerce_or_zero(ad.customer_base_raw(spark, d, customer_dimension(spark, d)))
 
 
 def b04_customer_segment(spark, d):
-    return cu.with_segments(ad.customer_base(spark, d)).select("customer_id", "customer_segment")
+    return cu.with_segments(customer_dimension(spark, d)).select("customer_id", "customer_segment")
 
 
 def b05_spending_tier(spark, d):
-    return cu.with_segments(ad.customer_base(spark, d)).select("customer_id", "spending_tier")
+    return cu.with_segments(customer_dimension(spark, d)).select("customer_id", "spending_tier")
 
 
 def b06_demand_driver(spark, d):
     from halyard.functions.customer import demand_driver
 
-    dd = ad.daily_demand(spark, d)
+    dd = daily_demand_fact(spark, d)
     return dd.select("series_id", "ds", demand_driver("is_holiday", "is_promo", "is_weekend").alias("demand_driver"))
 
 
 def b07_encode_categoricals(spark, d):
-    return cu.encode_categoricals(ad.customer_base(spark, d))
+    return cu.encode_categoricals(customer_dimension(spark, d))
 
 
 def _features(spark, d):
-    return cu.engineer_features(ad.customer_base(spark, d))
+    return cu.engineer_features(customer_dimension(spark, d))
 
 
 def b08_avg_charges_per_month(spark, d):
@@ -98,7 +99,7 @@ def b15_align_features(spark, d):
 
 
 def _scored(spark, d):
-    return ad.scored_customers(spark, d)
+    return ad.scored_customers(spark, d, customer_dimension(spark, d))
 
 
 def b16_risk_level(spark, d):
@@ -118,7 +119,7 @@ def b19_classify(spark, d):
 
 
 def b20_lookup_customer(spark, d):
-    return cu.lookup_customer(ad.customer_base(spark, d), LOOKUP_ID)
+    return cu.lookup_customer(customer_dimension(spark, d), LOOKUP_ID)
 
 
 def b21_validate_constraints(spark, d):
@@ -128,7 +129,7 @@ def b21_validate_constraints(spark, d):
         "orders_date_not_null": F.col("o_orderdate").isNotNull(),
         "orders_amount_positive": F.col("o_totalprice") > 0,
     }
-    dd = ad.daily_demand(spark, d)
+    dd = daily_demand_fact(spark, d)
     d_rules = {
         "demand_discount_in_0_1": F.col("discount_pct").between(0, 1),
         "demand_dow_in_0_6": F.col("day_of_week").between(0, 6),
@@ -164,7 +165,7 @@ def c04_orphan_check(spark, d):
     li_o = cu.orphan_rows(li, orders, "l_orderkey", "o_orderkey").select(
         F.lit("lineitem.l_orderkey").alias("fk"), F.col("l_orderkey").alias("row_key"))
     fb = ad.feedback(spark, d)
-    f = cu.orphan_rows(fb, ad.customer_base(spark, d), "customer_id", "customer_id").select(
+    f = cu.orphan_rows(fb, customer_dimension(spark, d), "customer_id", "customer_id").select(
         F.lit("feedback.customer_id").alias("fk"), F.col("feedback_id").alias("row_key"))
     return o.unionByName(li_o).unionByName(f)
 
@@ -172,19 +173,19 @@ def c04_orphan_check(spark, d):
 def c06_enrich_predictions(spark, d):
     sc = _scored(spark, d)
     pred = sc.select("customer_id", "churn_probability", rf.risk_level("churn_probability").alias("risk_level"))
-    return cu.enrich_predictions(pred, ad.customer_base(spark, d))
+    return cu.enrich_predictions(pred, customer_dimension(spark, d))
 
 
 def c07_feedback_by_churn(spark, d):
-    return cu.negative_feedback_by_churn(ad.feedback(spark, d), ad.customer_base(spark, d))
+    return cu.negative_feedback_by_churn(ad.feedback(spark, d), customer_dimension(spark, d))
 
 
 def d01_profile_quality(spark, d):
-    return cu.profile_quality(cu.clean_customers(ad.customer_base_raw(spark, d)), "customer_id", "churn_status")
+    return cu.profile_quality(cu.clean_customers(ad.customer_base_raw(spark, d, customer_dimension(spark, d))), "customer_id", "churn_status")
 
 
 def d02_load_summary(spark, d):
-    dd = ad.daily_demand(spark, d, series="all")
+    dd = daily_demand_fact(spark, d, "all")
     return dd.agg(
         F.count(F.lit(1)).alias("n_days"),
         F.min("ds").alias("first_day"),
@@ -195,39 +196,39 @@ def d02_load_summary(spark, d):
 
 
 def d03_churn_overview(spark, d):
-    return cu.churn_overview(ad.customer_base(spark, d))
+    return cu.churn_overview(customer_dimension(spark, d))
 
 
 def d04_segment_counts(spark, d):
-    return cu.segment_counts(ad.customer_base(spark, d))
+    return cu.segment_counts(customer_dimension(spark, d))
 
 
 def d05_spending_profile(spark, d):
-    return cu.spending_profile(ad.customer_base(spark, d))
+    return cu.spending_profile(customer_dimension(spark, d))
 
 
 def d06_tenure_stats(spark, d):
-    return cu.tenure_stats(ad.customer_base(spark, d))
+    return cu.tenure_stats(customer_dimension(spark, d))
 
 
 def d07_value_counts(spark, d):
-    return cu.value_counts(ad.customer_base(spark, d), "subscription_type")
+    return cu.value_counts(customer_dimension(spark, d), "subscription_type")
 
 
 def d08_demographics(spark, d):
-    return cu.demographics(ad.customer_base(spark, d))
+    return cu.demographics(customer_dimension(spark, d))
 
 
 def d09_churn_by_contract(spark, d):
-    return cu.churn_by(ad.customer_base(spark, d), "subscription_type")
+    return cu.churn_by(customer_dimension(spark, d), "subscription_type")
 
 
 def d10_churn_by_tenure_band(spark, d):
-    return cu.churn_by_tenure_band(ad.customer_base(spark, d))
+    return cu.churn_by_tenure_band(customer_dimension(spark, d))
 
 
 def d11_revenue_at_risk(spark, d):
-    return cu.revenue_at_risk(ad.customer_base(spark, d))
+    return cu.revenue_at_risk(customer_dimension(spark, d))
 
 
 def d11b_revenue_at_risk_by_band(spark, d):
@@ -235,11 +236,11 @@ def d11b_revenue_at_risk_by_band(spark, d):
 
 
 def d12_overview_kpis(spark, d):
-    return cu.overview_kpis(ad.customer_base(spark, d))
+    return cu.overview_kpis(customer_dimension(spark, d))
 
 
 def d13_corr_with_target(spark, d):
-    return cu.corr_with_target(ad.customer_base(spark, d))
+    return cu.corr_with_target(customer_dimension(spark, d))
 
 
 def d14_risk_segmentation(spark, d):
@@ -247,11 +248,11 @@ def d14_risk_segmentation(spark, d):
 
 
 def d15_histogram_fixed(spark, d):
-    return cu.histogram_fixed(ad.customer_base(spark, d))
+    return cu.histogram_fixed(customer_dimension(spark, d))
 
 
 def d16_histogram_equal_width(spark, d):
-    return cu.histogram_equal_width(ad.customer_base(spark, d), "tenure_months", 24)
+    return cu.histogram_equal_width(customer_dimension(spark, d), "tenure_months", 24)
 
 
 def d17_batch_summary(spark, d):

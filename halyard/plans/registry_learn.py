@@ -13,7 +13,7 @@ from halyard.operators import evaluation as ev
 from halyard.operators import learn as ln
 from halyard.operators import sentiment as st
 from halyard.plans import adapters as ad
-from halyard.plans.materialize import materialized
+from halyard.plans.materialize import customer_dimension, materialized
 from halyard.session import scratch_path
 from halyard.sources import io
 
@@ -24,7 +24,7 @@ SMALL_GRID = {"maxIter": [10, 20], "maxDepth": [3]}
 
 
 def _labelled(spark, d):
-    sc = ad.scored_customers(spark, d)
+    sc = ad.scored_customers(spark, d, customer_dimension(spark, d))
     return sc.withColumn("label", F.col("churn_status").cast("int"))
 
 
@@ -45,26 +45,26 @@ def f05_top_thresholds(spark, d):
 
 
 def e07_stratified_split(spark, d):
-    cb = ad.customer_base(spark, d).select("customer_id", F.col("churn_status").cast("int").alias("churn"))
+    cb = customer_dimension(spark, d).select("customer_id", F.col("churn_status").cast("int").alias("churn"))
     return ev.stratified_split(cb, "customer_id", "churn", 0.8)
 
 
 def f01_page(spark, d):
-    cb = ad.customer_base(spark, d).select("customer_id", "subscription_type", "monthly_charges", "tenure_months")
+    cb = customer_dimension(spark, d).select("customer_id", "subscription_type", "monthly_charges", "tenure_months")
     return ev.page(cb, ["customer_id"], PAGE_LIMIT, PAGE_OFFSET)
 
 
 def f02_high_risk_scan(spark, d):
-    sc = ad.scored_customers(spark, d).select("customer_id", "churn_probability", "monthly_charges")
+    sc = ad.scored_customers(spark, d, customer_dimension(spark, d)).select("customer_id", "churn_probability", "monthly_charges")
     return ev.high_risk_scan(sc)
 
 
 def f03_random_sample(spark, d):
-    return ev.random_sample(ad.customer_base(spark, d).select("customer_id", "monthly_charges"), SAMPLE_N, "customer_id")
+    return ev.random_sample(customer_dimension(spark, d).select("customer_id", "monthly_charges"), SAMPLE_N, "customer_id")
 
 
 def f04_top_n_risk(spark, d):
-    sc = ad.scored_customers(spark, d).select("customer_id", "churn_probability", "monthly_charges")
+    sc = ad.scored_customers(spark, d, customer_dimension(spark, d)).select("customer_id", "churn_probability", "monthly_charges")
     return ev.top_n(sc, "churn_probability", TOP_RISK_N, "customer_id")
 
 
@@ -75,13 +75,13 @@ def _scratch(spark, name):
 
 def a01_read_customers_csv(spark, d):
     path = _scratch(spark, "customers_csv")
-    io.write_csv(ad.customer_base_raw(spark, d), path)
+    io.write_csv(ad.customer_base_raw(spark, d, customer_dimension(spark, d)), path)
     return io.read_customers_csv(spark, path)
 
 
 def a03_overwrite_table(spark, d):
     path = _scratch(spark, "dim_customers")
-    cb = cu.clean_customers(ad.customer_base_raw(spark, d)).withColumn("customer_id", F.col("customer_id").cast("long"))
+    cb = cu.clean_customers(ad.customer_base_raw(spark, d, customer_dimension(spark, d))).withColumn("customer_id", F.col("customer_id").cast("long"))
     io.overwrite_table(cb.limit(0), path, io.CUSTOMER_SCHEMA)      # create
     io.overwrite_table(cb, path, io.CUSTOMER_SCHEMA)               # truncate-and-load
     return io.read_parquet(spark, path)
@@ -89,7 +89,7 @@ def a03_overwrite_table(spark, d):
 
 def a04_write_csv(spark, d):
     path = _scratch(spark, "predictions_csv")
-    sc = ad.scored_customers(spark, d).select("customer_id", "churn_probability",
+    sc = ad.scored_customers(spark, d, customer_dimension(spark, d)).select("customer_id", "churn_probability",
                                               rf.risk_level("churn_probability").alias("risk_level"))
     io.write_csv(sc, path)
     return spark.read.schema("customer_id long, churn_probability double, risk_level string").option("header", True).csv(path)
@@ -115,7 +115,7 @@ def _features(spark, d):
     shared checkpoint folder: iterative fits then read a short lineage
     (and survive lost executors) instead of recomputing joins per step."""
     def build():
-        feats = cu.engineer_features(ad.customer_base(spark, d))
+        feats = cu.engineer_features(customer_dimension(spark, d))
         return ln.with_class_weights(ev.stratified_split(feats, "customer_id", "churn", 0.8))
 
     return materialized(spark, f"churn_features:{d}", build)
@@ -172,7 +172,7 @@ def i05_compare_and_select(spark, d):
 def i06_score_customers(spark, d):
     train, _ = _train_test(spark, d)
     model = ln.logistic_pipeline().fit(train)
-    feats = ln.with_class_weights(cu.engineer_features(ad.customer_base(spark, d)))
+    feats = ln.with_class_weights(cu.engineer_features(customer_dimension(spark, d)))
     return ln.score_customers(model, feats, 0.5, "Logistic Regression", 0.0, len(ln.BASE_FEATURES))
 
 
@@ -195,7 +195,7 @@ def k01_stream_score(spark, d):
 
     train, _ = _train_test(spark, d)
     model = ln.logistic_pipeline().fit(train)
-    feats = cu.engineer_features(ad.customer_base(spark, d)).select("customer_id", *ln.BASE_FEATURES)
+    feats = cu.engineer_features(customer_dimension(spark, d)).select("customer_id", *ln.BASE_FEATURES)
     src, sink, ck = _scratch(spark, "k1_src"), _scratch(spark, "k1_sink"), _scratch(spark, "k1_ckpt")
     feats.repartition(4).write.mode("overwrite").parquet(src)
     q = jobs.stream_score(spark, model, src, feats.schema, sink, ck)

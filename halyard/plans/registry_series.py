@@ -10,7 +10,7 @@ from halyard.functions import calendar as cal
 from halyard.operators import forecast_eval as fe
 from halyard.operators import timeseries as ts
 from halyard.plans import adapters as ad
-from halyard.plans.materialize import materialized
+from halyard.plans.materialize import daily_demand_fact
 
 HORIZON = 30
 HOLDOUT = 30
@@ -21,7 +21,7 @@ STAND_INS = ("tail_mean_7", "tail_mean_30")
 def _dd(spark, d):
     """The daily-demand fact (one row per series and day), built from the
     order tables once per session and stored like the source's demand table."""
-    return materialized(spark, f"daily_demand:{d}", lambda: ad.daily_demand(spark, d))
+    return daily_demand_fact(spark, d)
 
 
 def _reg(spark, d):

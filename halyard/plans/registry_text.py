@@ -9,6 +9,7 @@ from halyard.functions.numeric import rnd
 from halyard.operators import search as se
 from halyard.operators import sentiment as st
 from halyard.plans import adapters as ad
+from halyard.plans.materialize import customer_dimension
 from halyard.sources.io import read_table
 
 # Data-fitted lexicons: common words of the test corpus, used to exercise
