@@ -186,7 +186,9 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 # -------------------------------------------------------------------- joins
 def batch_lookup(ids: DataFrame, scored: DataFrame, id_col: str = "customer_id") -> DataFrame:
     """Requested ids left-joined to scored customers; misses become
-    error rows instead of disappearing."""
+    error rows instead of disappearing. Extra columns of ``ids`` (e.g. the
+    request ``position``) are kept, so results can be returned in request
+    order."""
     j = ids.join(scored, on=id_col, how="left")
     found = F.col("churn_probability").isNotNull()
     return j.withColumn(

@@ -16,7 +16,7 @@ from halyard.sources.io import read_table
 # every branch of the word-count scorer (the default lexicons rarely hit).
 DATA_POSITIVE = ("the", "and", "with", "for")
 DATA_NEGATIVE = ("of", "to", "is", "was")
-ID_LIST_TEXT = " 10, 20,,30 , abc, 999999999 ,7,"
+ID_LIST_TEXT = " 10, 20,,30 \n abc\n 999999999 ,7,\n"
 TOP_K = 10
 
 
@@ -111,12 +111,14 @@ def g02_dedup_text(spark, d):
 
 
 def h01_parse_id_list(spark, d):
+    """Pasted ids (one per line or comma-separated) -> trimmed, non-empty
+    tokens in input order, each matched against the customer table."""
     cust = read_table(spark, d, "customer").select(F.col("c_custkey").alias("customer_id"), F.lit(True).alias("found"))
-    toks = spark.range(1).select(F.explode(F.split(F.lit(ID_LIST_TEXT), ",")).alias("token"))
-    toks = toks.select(F.trim("token").alias("token")).filter(F.col("token") != "")
+    toks = spark.range(1).select(F.posexplode(F.split(F.lit(ID_LIST_TEXT), "[\n,]")).alias("position", "token"))
+    toks = toks.select("position", F.trim("token").alias("token")).filter(F.col("token") != "")
     ids = toks.withColumn("customer_id", F.col("token").try_cast("bigint"))
     out = ids.join(cust, "customer_id", "left")
-    return out.select("token", "customer_id", F.coalesce("found", F.lit(False)).alias("found"))
+    return out.select("position", "token", "customer_id", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def h02_to_metadata_map(spark, d):

@@ -147,10 +147,11 @@ SELECT count(*) AS n_texts, count(DISTINCT text) AS n_distinct, count(*) - count
 FROM documents""",
     "f07_order_by_time": _w(FB, "SELECT feedback_id, created_at FROM fb ORDER BY created_at, feedback_id"),
     "g02_dedup_text": "SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text",
-    "h01_parse_id_list": f"""
-WITH t AS (SELECT trim(unnest(string_split('{" 10, 20,,30 , abc, 999999999 ,7,"}', ','))) AS token),
-ids AS (SELECT token, TRY_CAST(token AS BIGINT) AS customer_id FROM t WHERE token <> '')
-SELECT ids.token, ids.customer_id, c.c_custkey IS NOT NULL AS found
+    "h01_parse_id_list": """
+WITH parts AS (SELECT string_split_regex(' 10, 20,,30 \n abc\n 999999999 ,7,\n', '[\n,]') AS p),
+t AS (SELECT CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS position, trim(unnest(p)) AS token FROM parts),
+ids AS (SELECT position, token, TRY_CAST(token AS BIGINT) AS customer_id FROM t WHERE token <> '')
+SELECT ids.position, ids.token, ids.customer_id, c.c_custkey IS NOT NULL AS found
 FROM ids LEFT JOIN customer c ON ids.customer_id = c.c_custkey""",
     "j01_lexicon_sentiment": _lexicon("text", tx.POSITIVE_WORDS, tx.NEGATIVE_WORDS),
     "j01b_lexicon_sentiment_data_words": _lexicon("text", ("the", "and", "with", "for"), ("of", "to", "is", "was")),

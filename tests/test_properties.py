@@ -302,3 +302,13 @@ def test_hot_key_groups_stay_exact(spark):
     docs = spark.createDataFrame([(i, "same text" if i % 3 == 0 else f"t{i}") for i in range(n)], "doc_id long, text string")
     d = {r.text: r.doc_id for r in dedup_text(docs).collect()}
     assert d["same text"] == 0 and len(d) == 1 + (n - 1000)
+
+
+def test_batch_lookup_keeps_request_order_and_misses(spark):
+    scored = spark.createDataFrame([("TEST-001", 0.7), ("TEST-002", 0.3)], "customer_id string, churn_probability double")
+    ids = spark.createDataFrame([(0, "TEST-002"), (1, "NOPE"), (2, "TEST-001")], "position int, customer_id string")
+    out = cu.batch_lookup(ids, scored).orderBy("position").collect()
+    assert [r.customer_id for r in out] == ["TEST-002", "NOPE", "TEST-001"]
+    assert out[1].error == "customer not found" and out[0].error is None and out[2].churn_probability == 0.7
+    s = cu.batch_summary(cu.batch_lookup(ids, scored)).first()
+    assert (s.requested, s.succeeded, s.failed) == (3, 2, 1)
