@@ -312,3 +312,31 @@ def test_batch_lookup_keeps_request_order_and_misses(spark):
     assert out[1].error == "customer not found" and out[0].error is None and out[2].churn_probability == 0.7
     s = cu.batch_summary(cu.batch_lookup(ids, scored)).first()
     assert (s.requested, s.succeeded, s.failed) == (3, 2, 1)
+
+
+def test_manual_scoring_uses_training_stats_and_record_schema(spark):
+    from halyard.operators import learn as ln
+    from halyard.plans import registry_learn as rl
+    from halyard.plans.materialize import customer_dimension
+
+    train, _ = rl._train_test(spark, SF_MID)
+    model = ln.logistic_pipeline(max_iter=50).fit(train)
+    stats = ln.training_stats(customer_dimension(spark, SF_MID))
+    rec = {"customerID": "TEST-0001", "gender": "Female", "SeniorCitizen": 0, "Partner": "Yes", "Dependents": "No",
+           "tenure": "12", "Contract": "Month-to-month", "PaymentMethod": "Credit card", "MonthlyCharges": "65.0",
+           "TotalCharges": " ", "Churn": None}
+    out = ln.score_records(spark, model, [rec], stats, 0.5, "Logistic Regression", 0.84)
+    r = out.first()
+    assert r.customer_id == "TEST-0001" and 0 <= r.churn_probability <= 1
+    assert r.risk_level in ("High Risk", "Medium Risk", "Low Risk") and len(r.recommendations) == 4
+    assert r.model_info.model_name == "Logistic Regression" and r.model_info.features_used == len(ln.BASE_FEATURES)
+    types = {f.name: f.dataType.simpleString() for f in out.schema.fields}
+    assert types["churn_prediction"] == "boolean" and types["optimal_threshold"] == "double"
+    assert types["model_info"] == "struct<model_name:string,auc_score:double,features_used:int>"
+    raw = spark.createDataFrame([tuple(None if v is None else str(v) for v in rec.values())],
+                                ", ".join(f"{c} string" for c in rec))
+    feats = cu.engineer_features(cu.clean_customers(raw), high_value_cut=stats["median"],
+                                 charge_min=stats["min"], charge_max=stats["max"]).first()
+    lo, hi = stats["min"], stats["max"]
+    want = min(2, max(0, math.ceil((65.0 - lo) / ((hi - lo) / 3)) - 1))
+    assert feats.revenue_category == want and feats.is_high_value == int(65.0 > stats["median"])
