@@ -169,7 +169,7 @@ def additive_forecast(dd: DataFrame, horizon: int = 30, components: bool = False
 
 
 # ------------------------------------------------------------------ ARIMA
-ARIMA_GRID = {"p": range(0, 4), "q": range(0, 4), "P": range(0, 2), "Q": range(0, 2)}
+ARIMA_GRID = {"p": range(0, 4), "q": range(0, 4), "P": range(0, 3), "Q": range(0, 3)}
 SEASON = 7
 LONG_AR = 21
 

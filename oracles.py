@@ -357,7 +357,7 @@ SELECT 'female' AS flag, female AS count, round(female / n, 6) AS share FROM w
 UNION ALL SELECT 'male', male, round(male / n, 6) FROM w
 UNION ALL SELECT 'senior_citizen', senior_citizen, round(senior_citizen / n, 6) FROM w
 UNION ALL SELECT 'partner', partner, round(partner / n, 6) FROM w
-UNION ALL SELECT 'dependents', dependents, round(dependents / n, 6) FROM w""".replace("\n, w AS", "w AS", 0)),
+UNION ALL SELECT 'dependents', dependents, round(dependents / n, 6) FROM w"""),
     "d09_churn_by_contract": _w(CB, """
 , g AS (SELECT subscription_type, count(*) AS n, round(avg(CAST(churn_status AS DOUBLE)), 6) AS churn_rate
   FROM cb GROUP BY 1)
