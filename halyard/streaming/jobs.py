@@ -75,13 +75,44 @@ def stream_sentiment_timeline(spark: SparkSession, source_dir: str, schema, sink
     return w.start()
 
 
-def read_timeline(spark: SparkSession, sink_dir: str) -> DataFrame:
+_COUNT_COLS = ("n_positive", "n_negative", "n_neutral", "sum_score", "total_count")
+
+
+def _latest_counts(raw: DataFrame) -> DataFrame:
+    """The newest version of every window (max batch_id wins)."""
+    return raw.groupBy("period").agg(
+        F.max_by(F.struct(*_COUNT_COLS, "batch_id"), F.col("batch_id")).alias("s")
+    ).select("period", "s.*")
+
+
+def _path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def compact_timeline(spark: SparkSession, sink_dir: str, snapshot_dir: str) -> None:
+    """Fold every micro-batch written so far into one snapshot (one row per
+    period, with the batch it came from). Readers then combine the snapshot
+    with newer batches only; old batch folders can be expired by retention."""
+    raw = spark.read.parquet(sink_dir)
+    if _path_exists(spark, snapshot_dir):
+        raw = raw.unionByName(spark.read.parquet(snapshot_dir))
+    _latest_counts(raw).write.mode("overwrite").parquet(snapshot_dir + ".tmp")
+    spark.read.parquet(snapshot_dir + ".tmp").write.mode("overwrite").parquet(snapshot_dir)
+
+
+def read_timeline(spark: SparkSession, sink_dir: str, snapshot_dir: str | None = None) -> DataFrame:
     """The current timeline from K2's sink: the latest version of every
     window (one row per period), then shares, net and the 3-period trend
-    over periods (already aggregated)."""
+    over periods (already aggregated). With a snapshot, only batches newer
+    than it are read (partition pruning on ``batch_id``)."""
     raw = spark.read.parquet(sink_dir)
-    latest = raw.groupBy("period").agg(F.max_by(F.struct("n_positive", "n_negative", "n_neutral", "sum_score",
-                                                        "total_count"), F.col("batch_id")).alias("s")).select("period", "s.*")
+    if snapshot_dir and _path_exists(spark, snapshot_dir):
+        snap = spark.read.parquet(snapshot_dir)
+        newer = raw.filter(F.col("batch_id") > snap.agg(F.max("batch_id")).scalar())
+        raw = snap.unionByName(newer.select("period", *_COUNT_COLS, "batch_id"))
+    latest = _latest_counts(raw)
     n = F.col("total_count")
     tl = latest.select(
         "period",

@@ -340,3 +340,21 @@ def test_manual_scoring_uses_training_stats_and_record_schema(spark):
     lo, hi = stats["min"], stats["max"]
     want = min(2, max(0, math.ceil((65.0 - lo) / ((hi - lo) / 3)) - 1))
     assert feats.revenue_category == want and feats.is_high_value == int(65.0 > stats["median"])
+
+
+def test_stream_timeline_compaction_is_lossless(spark, tmp_path):
+    from halyard.plans import adapters as ad
+    from halyard.streaming import jobs
+
+    ev_ = ad.event_sentiment(spark, SF_MID).select("event_id", "ts", "sentiment_score", "sentiment_label")
+    src, sink, ck, snap = (str(tmp_path / x) for x in ("src", "sink", "ck", "snap"))
+    ev_.filter("ts < '2024-01-15'").write.parquet(src + "/a")
+    q = jobs.stream_sentiment_timeline(spark, src + "/*", ev_.schema, sink, ck)
+    q.awaitTermination()
+    jobs.compact_timeline(spark, sink, snap)
+    ev_.filter("ts >= '2024-01-15'").write.parquet(src + "/b")
+    q = jobs.stream_sentiment_timeline(spark, src + "/*", ev_.schema, sink, ck)
+    q.awaitTermination()
+    a = sorted(tuple(r) for r in jobs.read_timeline(spark, sink).collect())
+    b = sorted(tuple(r) for r in jobs.read_timeline(spark, sink, snap).collect())
+    assert a == b and len(a) == 30
