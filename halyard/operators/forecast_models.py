@@ -12,8 +12,8 @@
 * I11 window model: supervised windows (E4) of *all* series feed fixed,
   seeded random ReLU features (``mapInPandas``); one global ridge head is
   solved from Gram matrices summed across partitions (their size is set by
-  the feature count, not the data), applied as a doubly-residual pair of
-  blocks.
+  the feature count, not the data). A second block fits what the first
+  block's forecast left over, and the block forecasts are summed.
 * I12 runs the hold-out, metrics and per-series selection natively.
 """
 
@@ -281,7 +281,7 @@ def _gram_sums(windows: DataFrame, lookback: int, horizon: int, seed: int, n_fea
     """Per-partition X'X and X'Y of one block, summed across partitions as
     (i, j, value) cells: the result has (R+1)^2 + (R+1)*H rows whatever the
     number of windows."""
-    out_dim = horizon if target == "forecast" else lookback + horizon
+    out_dim = horizon
 
     def gram(it):
         G = np.zeros((n_features + 1, n_features + 1))
@@ -296,9 +296,9 @@ def _gram_sums(windows: DataFrame, lookback: int, horizon: int, seed: int, n_fea
             yh = (hor - mu) / sd
             if target == "forecast":
                 X, Y = _relu_features(x, seed, n_features), yh
-            else:  # second block learns the residual after block 1's backcast/forecast
+            else:  # second block learns what block 1's forecast left over
                 r = np.stack(pdf["resid"].to_numpy()).astype(float)
-                X, Y = _relu_features(r[:, :lookback], seed + 1, n_features), np.column_stack([r[:, :lookback] * 0, r[:, lookback:]])
+                X, Y = _relu_features(r[:, :lookback], seed + 1, n_features), r[:, lookback:]
             G += X.T @ X
             B += X.T @ Y
         i, j = np.indices(G.shape)
@@ -334,7 +334,8 @@ def _solve_head(cells: DataFrame, lam: float = 1.0) -> DataFrame:
 def window_forecast(dd: DataFrame, horizon: int = 30, lookback: int = LOOKBACK, n_features: int = N_FEATURES,
                     seed: int = WINDOW_SEED) -> DataFrame:
     """Direct multi-horizon forecast from the last ``lookback`` days,
-    two doubly-residual random-feature blocks with trained linear heads;
+    two stacked random-feature blocks with trained linear heads (the second
+    fits the first one's forecast residual; forecasts are summed);
     interval = yhat +- 1.645 * 0.5 * std(last 60 days)."""
     reg = ts.regularize_daily(dd).select(KEY, "ds", "y")
     # both heads read the windows: a reliable checkpoint (shared folder) cuts
@@ -343,7 +344,7 @@ def window_forecast(dd: DataFrame, horizon: int = 30, lookback: int = LOOKBACK,
     win = ts.supervised_windows(reg, lookback, horizon).checkpoint(eager=True)
     head1 = _solve_head(_gram_sums(win, lookback, horizon, seed, n_features, "forecast"))
 
-    def apply_head(it, heads_cols=("w1",)):
+    def apply_head(it):
         for pdf in it:
             if pdf.empty:
                 continue
@@ -362,8 +363,7 @@ def window_forecast(dd: DataFrame, horizon: int = 30, lookback: int = LOOKBACK,
             else:
                 if "w2" in pdf:
                     W2 = np.asarray(pdf["w2"].iloc[0]).reshape(n_features + 1, -1)
-                    f2 = _relu_features(x, seed + 1, n_features) @ W2
-                    f1 = f1 + f2[:, -f1.shape[1]:]
+                    f1 = f1 + _relu_features(x, seed + 1, n_features) @ W2
                 out["yhat"] = list(f1 * sd + mu)
             yield out
 
