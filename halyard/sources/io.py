@@ -92,8 +92,12 @@ def overwrite_table(df: DataFrame, path: str, schema: T.StructType | None = None
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A4: distributed CSV export with a header line per part file."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A4: distributed CSV export with a header line per part file. Values
+    are written verbatim (Spark trims whitespace by default, which would
+    turn a blank ' ' total into an empty field)."""
+    (df.write.mode("overwrite").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
