@@ -129,12 +129,17 @@ def _train_test(spark, d):
 def a07_model_artifacts(spark, d):
     train, test = _train_test(spark, d)
     model = ln.logistic_pipeline().fit(train)
+    metrics = ln.evaluate(model, test, "Logistic Regression").first().asDict()
     path = _scratch(spark, "churn_model")
-    io.save_model_artifact(model, path, {"features": ln.BASE_FEATURES, "threshold": 0.5,
-                                         "business": {"retention_cost": rf.RETENTION_COST,
-                                                      "churn_loss": rf.CHURN_LOSS}})
+    io.save_model_artifact(model, path, {
+        "model_type": "Logistic Regression", "features": ln.BASE_FEATURES, "threshold": 0.5,
+        "metrics": {k: v for k, v in metrics.items() if k != "model"},
+        "training_stats": ln.training_stats(customer_dimension(spark, d)),
+        "business": {"retention_cost": rf.RETENTION_COST, "churn_loss": rf.CHURN_LOSS,
+                     "campaign_success_rate": rf.CAMPAIGN_SUCCESS_RATE}})
     loaded, meta = io.load_model_artifact(spark, path)
-    return ln.score_customers(loaded, test, meta["threshold"], "Logistic Regression", 0.0, len(meta["features"]))
+    return ln.score_customers(loaded, test, meta["threshold"], meta["model_type"],
+                              meta["metrics"]["auc"] or 0.0, len(meta["features"]))
 
 
 def i01_train_logistic(spark, d):
@@ -147,6 +152,12 @@ def i02_train_random_forest(spark, d):
     return ln.evaluate(ln.forest_pipeline().fit(train), test, "Random Forest")
 
 
+def i02b_train_fallback_forest(spark, d):
+    """The serving path's 7-feature fallback forest."""
+    train, test = _train_test(spark, d)
+    return ln.evaluate(ln.forest_pipeline(ln.FALLBACK_FEATURES).fit(train), test, "Random Forest (fallback)")
+
+
 def i03_train_gbt(spark, d):
     train, test = _train_test(spark, d)
     return ln.evaluate(ln.gbt_pipeline(ln.ADVANCED_FEATURES).fit(train), test, "Gradient Boosting")
