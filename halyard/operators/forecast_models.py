@@ -20,6 +20,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -143,6 +144,12 @@ def additive_forecast(dd: DataFrame, horizon: int = 30, components: bool = False
                                                           T.StructField("intercept", T.DoubleType())] + comp_fields)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return _fit(pdf)
+        except (np.linalg.LinAlgError, ValueError):  # this series errored: no rows
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+
+    def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
         X = pdf[feat_cols].to_numpy(dtype=float)
         h = ~pdf["is_future"].to_numpy(dtype=bool)
@@ -246,7 +253,10 @@ def arima_forecast(dd: DataFrame, horizon: int = 30) -> DataFrame:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
         y = pdf["y"].to_numpy(dtype=float)
-        yf, se, order = _arima_forecast(y, horizon)
+        try:
+            yf, se, order = _arima_forecast(y, horizon)
+        except (np.linalg.LinAlgError, ValueError):  # this series errored: no rows
+            return pd.DataFrame({f.name: [] for f in schema.fields})
         last = pd.Timestamp(pdf["ds"].iloc[-1])
         days = [(last + pd.Timedelta(days=i)).date() for i in range(1, horizon + 1)]
         return pd.DataFrame({KEY: pdf[KEY].iloc[0], "ds": days, "yhat": yf, "yhat_lower": yf - Z90 * se,
@@ -392,16 +402,34 @@ MODELS = {"Prophet": additive_forecast, "ARIMA": arima_forecast, "N-BEATS": wind
 
 def holdout_evaluation(dd: DataFrame, holdout: int = 30, models=("Prophet", "ARIMA", "N-BEATS")) -> DataFrame:
     """I12 (evaluation half): fit every model on all but the last
-    ``holdout`` days of each series, score the hold-out (D29) and rank
-    (D30). Series whose history is too short for a model get no row for it
-    (treated as errored)."""
+    ``holdout`` days of each series, score the hold-out (D29), record each
+    model's fit time and rank (D30). Errors are isolated: a series a model
+    cannot fit gets no row for it, a model that fails as a whole gets error
+    rows with null metrics; neither can be chosen."""
+    import time
+
     reg = ts.time_holdout(ts.regularize_daily(dd), holdout)
-    train_days = reg.filter(F.col("split") == "train").select(KEY, "ds")
-    train = dd.join(train_days, [KEY, "ds"], "left_semi")
+    # train on the regular series (so it ends the day before the hold-out
+    # even when that day had no orders), with regressors where observed
+    train = reg.filter(F.col("split") == "train").select(KEY, "ds", "y").join(
+        dd.select(KEY, "ds", *REGRESSORS), [KEY, "ds"], "left")
     test = reg.filter(F.col("split") == "test").select(KEY, "ds", "y")
-    preds = [MODELS[m](train, holdout) for m in models]
-    fc = fe.union_forecasts(*preds)
-    metrics = fe.forecast_metrics(fc, test)
+    series = dd.select(KEY).distinct()
+    checkpoint_dir(dd.sparkSession)
+    parts = []
+    for m in models:
+        t0 = time.perf_counter()
+        try:
+            fc = MODELS[m](train, holdout).checkpoint(eager=True)
+            met = fe.forecast_metrics(fc, test).withColumns(
+                {"fit_time_s": F.lit(round(time.perf_counter() - t0, 3)), "error": F.lit(None).cast("string")})
+        except Exception as e:  # the whole model failed: keep the others
+            met = series.select(KEY, F.lit(m).alias("model"), *[F.lit(None).cast("double").alias(c)
+                                                               for c in ("mae", "rmse", "mape")],
+                                F.lit(None).cast("long").alias("n_test"), F.lit(None).cast("double").alias("fit_time_s"),
+                                F.lit(f"{type(e).__name__}: {str(e)[:200]}").alias("error"))
+        parts.append(met)
+    metrics = reduce(lambda a, b: a.unionByName(b), parts)
     return fe.pick_best_model(metrics)
 
 
