@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -54,8 +55,6 @@ def score_with_model(df: DataFrame, text_col: str, predict: Callable, max_chars:
     """J4 model hook: ``predict(pandas.Series[str]) -> DataFrame[label, score]``
     runs per Arrow batch inside the executors; labels go through the alias
     table and are expanded into three-way scores (J3)."""
-    import pandas as pd
-
     schema = T.StructType([T.StructField("raw_label", T.StringType()), T.StructField("confidence", T.DoubleType())])
 
     @F.pandas_udf(schema)

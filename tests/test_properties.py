@@ -382,3 +382,39 @@ def test_overwrite_table_keeps_declared_schema(spark, tmp_path):
     back = spark.read.parquet(path)
     assert back.columns == [f.name for f in io.CUSTOMER_SCHEMA.fields] and back.count() == 2
     assert dict(back.dtypes)["customer_id"] == "bigint" and back.first().tenure_months is None
+
+
+def test_model_hook_scores_through_arrow_udf(spark):
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        lab = np.where(texts.str.contains("good"), "LABEL_2", np.where(texts.str.contains("bad"), "neg", "odd"))
+        return pd.DataFrame({"label": lab, "score": np.full(len(texts), 0.9)})
+
+    df = spark.createDataFrame([(1, "good service"), (2, "bad"), (3, "meh"), (4, None)], "id long, t string")
+    got = {r.id: r for r in sm.score_with_model(df, "t", predict).collect()}
+    assert got[1].sentiment_label == "positive" and got[2].sentiment_label == "negative"
+    assert got[3].sentiment_label == "neutral" and got[4].sentiment_label == "neutral"
+    s = got[1].scores
+    assert s.positive == 0.9 and s.neutral == pytest.approx(0.04) and s.negative == pytest.approx(0.06)
+
+
+def test_nan_to_null_and_constraint_counts(spark):
+    df = spark.createDataFrame([(1, float("nan"), 0.5), (2, 3.0, 1.5), (3, None, -0.1)], "id long, x double, d double")
+    out = {r.id: r.x for r in cu.nan_to_null(df).collect()}
+    assert out[1] is None and out[2] == 3.0 and out[3] is None
+    v = {r.rule: r.violations for r in cu.validate_constraints(
+        df, {"d_in_0_1": F.col("d").between(0, 1), "x_not_null": F.col("x").isNotNull()}).collect()}
+    assert v == {"d_in_0_1": 2, "x_not_null": 1}
+
+
+def test_holiday_window_join_brute_force(spark):
+    cal_df = ts.holiday_calendar(spark, 2023, 2024)
+    days = spark.createDataFrame([("s", dt.date(2023, 1, 1) + dt.timedelta(days=i)) for i in range(731)],
+                                 "series_id string, ds date")
+    got = {(r.ds, r.holiday) for r in ts.holiday_window_join(days, cal_df).collect()}
+    want = set()
+    for r in cal_df.collect():
+        for i in range(731):
+            d = dt.date(2023, 1, 1) + dt.timedelta(days=i)
+            if r.ds + dt.timedelta(days=r.lower_window) <= d <= r.ds + dt.timedelta(days=r.upper_window):
+                want.add((d, r.holiday))
+    assert got == want and len(want) > 0
