@@ -418,3 +418,16 @@ def test_holiday_window_join_brute_force(spark):
             if r.ds + dt.timedelta(days=r.lower_window) <= d <= r.ds + dt.timedelta(days=r.upper_window):
                 want.add((d, r.holiday))
     assert got == want and len(want) > 0
+
+
+def test_regressor_join_fill_rules(spark):
+    hist = spark.createDataFrame([("a", dt.date(2024, 1, i), float(i), 1) for i in range(1, 31)] +
+                                 [("b", dt.date(2024, 1, i), 10.0, 0) for i in range(1, 31)],
+                                 "series_id string, ds date, spend double, promo int")
+    fut = ts.future_dates(hist, 3)
+    supplied = spark.createDataFrame([("a", dt.date(2024, 1, 31), 100.0, 1), ("a", dt.date(2024, 2, 1), 200.0, None)],
+                                     "series_id string, ds date, spend double, promo int")
+    got = {(r.series_id, r.ds): r for r in ts.with_regressors(fut, supplied, hist, ["promo"], ["spend"]).collect()}
+    assert got[("a", dt.date(2024, 1, 31))].spend == 100.0 and got[("a", dt.date(2024, 1, 31))].promo == 1.0
+    assert got[("a", dt.date(2024, 2, 2))].spend == 150.0 and got[("a", dt.date(2024, 2, 1))].promo == 0.0
+    assert got[("b", dt.date(2024, 2, 1))].spend == 10.0 and got[("b", dt.date(2024, 2, 1))].promo == 0.0
