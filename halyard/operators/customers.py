@@ -298,11 +298,13 @@ def churn_by(cb: DataFrame, col: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         rnd(F.avg(F.col("churn_status").cast("double")), 6).alias("churn_rate"),
     )
-    w_all = W.partitionBy()
-    return g.withColumns({
-        "is_highest": F.col("churn_rate") == F.max("churn_rate").over(w_all),
-        "is_lowest": F.col("churn_rate") == F.min("churn_rate").over(w_all),
-    }).orderBy(F.desc("churn_rate"), col)
+    # best / worst rate: one struct subquery over the grouped rows (no
+    # window that would gather every group into one task)
+    ext = g.agg(F.struct(F.max("churn_rate").alias("hi"), F.min("churn_rate").alias("lo"))).scalar()
+    return g.withColumn("_e", ext).withColumns({
+        "is_highest": F.col("churn_rate") == F.col("_e.hi"),
+        "is_lowest": F.col("churn_rate") == F.col("_e.lo"),
+    }).drop("_e").orderBy(F.desc("churn_rate"), col)
 
 
 def churn_by_tenure_band(cb: DataFrame) -> DataFrame:

@@ -76,9 +76,10 @@ def _pct(cond) -> F.Column:
 
 
 def sentiment_distribution(df: DataFrame, label_col: str = "sentiment_label") -> DataFrame:
-    """Percent of rows per label, 1 dp (window over <= 3 grouped rows)."""
+    """Percent of rows per label, 1 dp (total as a scalar subquery)."""
     g = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("count"))
-    return g.select(label_col, "count", rnd(F.col("count") * 100.0 / F.sum("count").over(W.partitionBy()), 1).alias("pct"))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return g.select(label_col, "count", rnd(F.col("count") * 100.0 / total, 1).alias("pct"))
 
 
 def sentiment_by_segment(df: DataFrame, segment: str, label_col: str = "sentiment_label") -> DataFrame:
