@@ -431,3 +431,19 @@ def test_regressor_join_fill_rules(spark):
     assert got[("a", dt.date(2024, 1, 31))].spend == 100.0 and got[("a", dt.date(2024, 1, 31))].promo == 1.0
     assert got[("a", dt.date(2024, 2, 2))].spend == 150.0 and got[("a", dt.date(2024, 2, 1))].promo == 0.0
     assert got[("b", dt.date(2024, 2, 1))].spend == 10.0 and got[("b", dt.date(2024, 2, 1))].promo == 0.0
+
+
+def test_weekly_stream_windows_start_on_monday(spark, tmp_path):
+    from halyard.plans import adapters as ad
+    from halyard.streaming import jobs
+
+    ev_ = ad.event_sentiment(spark, SF_MID).select("event_id", "ts", "sentiment_score", "sentiment_label")
+    src, sink, ck = (str(tmp_path / x) for x in ("src", "sink", "ck"))
+    ev_.write.parquet(src)
+    jobs.stream_sentiment_timeline(spark, src, ev_.schema, sink, ck, period="7 days", watermark="8 days").awaitTermination()
+    stream = jobs.read_timeline(spark, sink)
+    batch = sm.sentiment_timeline(ev_.withColumnRenamed("ts", "created_at"), "W")
+    cols = ["period", "positive_pct", "negative_pct", "total_count", "net_sentiment", "trend"]
+    a = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in stream.select(*cols).collect())
+    b = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in batch.select(*cols).collect())
+    assert a == b and all(r[0].weekday() == 0 for r in a)
