@@ -9,7 +9,6 @@ from halyard.functions.numeric import rnd
 from halyard.functions import calendar as cal
 from halyard.operators import forecast_eval as fe
 from halyard.operators import timeseries as ts
-from halyard.plans import adapters as ad
 from halyard.plans.materialize import daily_demand_fact
 
 HORIZON = 30

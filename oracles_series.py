@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from halyard.functions import calendar as cal
-from oracles import DD, _sql_list, _w
+from oracles import DD, _w
 
 REG = DD + """,
 bounds AS (SELECT series_id, min(ds) AS lo, max(ds) AS hi FROM dd GROUP BY 1),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from halyard.functions import text as tx
-from oracles import EV, FB, _sql_list, _w, lexicon_array_sql, stop_words_sql
+from oracles import EV, FB, _w, lexicon_array_sql, stop_words_sql
 
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 
