@@ -447,3 +447,29 @@ def test_weekly_stream_windows_start_on_monday(spark, tmp_path):
     a = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in stream.select(*cols).collect())
     b = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in batch.select(*cols).collect())
     assert a == b and all(r[0].weekday() == 0 for r in a)
+
+
+def test_second_metric_fixture_and_tied_peaks(spark):
+    pred = spark.createDataFrame([("s", dt.date(2024, 1, i + 1), float(p), "m") for i, p in enumerate([490, 525, 505, 540])],
+                                 "series_id string, ds date, yhat double, model string")
+    act = spark.createDataFrame([("s", dt.date(2024, 1, i + 1), float(a)) for i, a in enumerate([500, 520, 510, 530])],
+                                "series_id string, ds date, y double")
+    m = fe.forecast_metrics(pred, act).first()
+    assert m.mae == pytest.approx(7.5) and m.mape > 0
+    fc = spark.createDataFrame([("s", dt.date(2024, 1, d), y, "m") for d, y in ((3, 5.0), (1, 9.0), (2, 9.0), (4, 5.0))],
+                               "series_id string, ds date, yhat double, model string")
+    s = fe.forecast_summary(fc).first()
+    assert s.peak_day == dt.date(2024, 1, 1) and s.trough_day == dt.date(2024, 1, 3)
+    assert s.peak_value == 9.0 and s.total == 28.0
+
+
+def test_daily_demand_properties(spark):
+    from halyard.plans.materialize import daily_demand_fact
+
+    dd = daily_demand_fact(spark, SF_MID)
+    reg = ts.regularize_daily(dd)
+    assert ts.gap_check(reg).filter("NOT is_regular").count() == 0
+    bad = dd.filter((F.col("y") < 0) | ~F.col("discount_pct").between(0, 1) | (F.col("revenue") < 0)
+                    | (F.col("day_of_week") != (F.dayofweek("ds") + 5) % 7)
+                    | (F.col("is_weekend") != (F.col("day_of_week") >= 5)))
+    assert bad.count() == 0 and dd.count() > 0
