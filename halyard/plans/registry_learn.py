@@ -208,7 +208,8 @@ def k01_stream_score(spark, d):
     feats = cu.engineer_features(customer_dimension(spark, d)).select("customer_id", *ln.BASE_FEATURES)
     src, sink, ck = _scratch(spark, "k1_src"), _scratch(spark, "k1_sink"), _scratch(spark, "k1_ckpt")
     feats.repartition(4).write.mode("overwrite").parquet(src)
-    q = jobs.stream_score(spark, model, src, feats.schema, sink, ck)
+    q = jobs.stream_score(spark, model, src, feats.schema, sink, ck, 0.5, model_name="Logistic Regression",
+                          n_features=len(ln.BASE_FEATURES))
     q.awaitTermination()
     return spark.read.parquet(sink)
 

@@ -20,22 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from halyard.functions import risk as rf
-from halyard.operators.learn import probability
 
 
 def stream_score(spark: SparkSession, model, source_dir: str, schema, sink_dir: str, checkpoint: str,
-                 threshold: float = 0.5, available_now: bool = True):
-    """K1: score every new feature file as it lands."""
+                 threshold: float = 0.5, available_now: bool = True, model_name: str = "model",
+                 auc: float = 0.0, n_features: int = 0):
+    """K1: score every new feature file as it lands, with the same
+    prediction record as the batch and manual paths (I6)."""
+    from halyard.operators.learn import score_customers
+
     src = spark.readStream.schema(schema).parquet(source_dir)
-    pred = model.transform(src)
-    out = pred.select(
-        "customer_id",
-        probability(pred).alias("churn_probability"),
-    ).withColumns({
-        "churn_prediction": rf.classify("churn_probability", threshold),
-        "risk_level": rf.risk_level("churn_probability"),
-    })
+    out = score_customers(model, src, threshold, model_name, auc, n_features)
     w = out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.outputMode("append").start()

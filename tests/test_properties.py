@@ -473,3 +473,13 @@ def test_daily_demand_properties(spark):
                     | (F.col("day_of_week") != (F.dayofweek("ds") + 5) % 7)
                     | (F.col("is_weekend") != (F.col("day_of_week") >= 5)))
     assert bad.count() == 0 and dd.count() > 0
+
+
+def test_stream_scoring_emits_the_batch_prediction_record(spark):
+    from halyard.operators import learn as ln
+    from halyard.plans import registry_learn as rl
+
+    stream = rl.k01_stream_score(spark, SF_MID)
+    batch = rl.i06_score_customers(spark, SF_MID)
+    assert stream.columns == batch.columns and stream.count() == batch.count()
+    assert {r.risk_level for r in stream.select("risk_level").collect()} <= {"High Risk", "Medium Risk", "Low Risk"}
