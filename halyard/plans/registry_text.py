@@ -200,6 +200,12 @@ def j07_vector_search(spark, d):
     return se.vector_search(read_table(spark, d, "embeddings"), _centroid_queries(spark, d), k=TOP_K)
 
 
+def j07b_vector_search_filtered(spark, d):
+    """Exact cosine top-k restricted by a metadata equality filter."""
+    return se.vector_search(read_table(spark, d, "embeddings"), _centroid_queries(spark, d), k=TOP_K,
+                            filters={"label": 3})
+
+
 def j08_ann_search(spark, d):
     return se.ann_search(read_table(spark, d, "embeddings"), _centroid_queries(spark, d), k=TOP_K)
 

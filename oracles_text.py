@@ -190,6 +190,8 @@ SELECT query_id, doc_id, round(s, 4) AS similarity_score, CAST(rank AS INTEGER)
         "FROM qw JOIN post p ON qw.term = p.term WHERE p.doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"), """
 SELECT query_id, doc_id, round(s, 4) AS similarity_score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10"""),
     "j07_vector_search": _w(VECTOR, """
+SELECT query_id, vec_id, label, round(s, 4) AS similarity, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10"""),
+    "j07b_vector_search_filtered": _w(VECTOR.replace("FROM en, qn WHERE en.n > 0", "FROM en, qn WHERE en.label = 3 AND en.n > 0"), """
 SELECT query_id, vec_id, label, round(s, 4) AS similarity, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10"""),
     "j09_index_stats": "SELECT 'spark-exact-cosine' AS backend, count(*) AS n_documents FROM embeddings",
 }
