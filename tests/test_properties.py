@@ -483,3 +483,19 @@ def test_stream_scoring_emits_the_batch_prediction_record(spark):
     batch = rl.i06_score_customers(spark, SF_MID)
     assert stream.columns == batch.columns and stream.count() == batch.count()
     assert {r.risk_level for r in stream.select("risk_level").collect()} <= {"High Risk", "Medium Risk", "Low Risk"}
+
+
+def test_chunked_query_sets_equal_single_broadcast(spark):
+    rng = np.random.default_rng(11)
+    emb = spark.createDataFrame([(i, rng.normal(size=8).astype(float).tolist(), i % 3) for i in range(60)],
+                                "vec_id long, embedding array<double>, label int")
+    q = spark.createDataFrame([(j, rng.normal(size=8).astype(float).tolist()) for j in range(7)],
+                              "query_id long, query_vector array<double>")
+    one = sorted(tuple(r) for r in se.vector_search(emb, q, k=4).collect())
+    chunked = sorted(tuple(r) for r in se.vector_search(emb, q, k=4, max_broadcast_queries=2).collect())
+    assert one == chunked and len(one) == 28
+    docs = spark.createDataFrame([(i, f"alpha beta {i % 5} gamma") for i in range(30)], "doc_id long, text string")
+    qs = spark.createDataFrame([(j, f"beta {j}") for j in range(5)], "query_id long, query string")
+    a = sorted(tuple(r) for r in se.substring_search(docs, qs, k=3).collect())
+    b = sorted(tuple(r) for r in se.substring_search(docs, qs, k=3, max_broadcast_queries=2).collect())
+    assert a == b and len(a) == 15
