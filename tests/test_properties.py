@@ -499,3 +499,14 @@ def test_chunked_query_sets_equal_single_broadcast(spark):
     a = sorted(tuple(r) for r in se.substring_search(docs, qs, k=3).collect())
     b = sorted(tuple(r) for r in se.substring_search(docs, qs, k=3, max_broadcast_queries=2).collect())
     assert a == b and len(a) == 15
+
+
+def test_page_end_and_seeded_sample(spark):
+    df = spark.range(25).withColumnRenamed("id", "k")
+    last = ev.page(df, ["k"], 10, 20).collect()
+    assert [r.k for r in last] == [20, 21, 22, 23, 24] and not last[0].has_more and last[0].total_count == 25
+    assert ev.page(df, ["k"], 10, 0).first().has_more
+    a = [r.k for r in ev.random_sample(df, 5, "k", seed=1).collect()]
+    b = [r.k for r in ev.random_sample(df, 5, "k", seed=1).collect()]
+    c = [r.k for r in ev.random_sample(df, 5, "k", seed=2).collect()]
+    assert a == b and len(set(a)) == 5 and a != c
