@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.numeric import rnd
-
 from halyard.functions import customer as cf
 from halyard.functions import risk as rf
 

@@ -1,7 +1,7 @@
 """Forecast post-processing, evaluation and model selection (B26, I13,
-D27-D30, C5, G1) plus the tail-mean forecaster the window model uses as
-its fallback. Everything here is native Spark: per-(series, model) groups
-are bounded by the forecast horizon.
+D27-D30, C5, G1), the residual scale shared with the window model, and
+the tail-mean forecaster (a SQL-checkable stand-in model). Everything here
+is native Spark: per-(series, model) groups are bounded by the horizon.
 """
 
 from __future__ import annotations
@@ -9,11 +9,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from halyard.functions.numeric import rnd
-from pyspark.sql import Window as W
-
 from halyard.operators import timeseries as ts
 
 KEY = "series_id"

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions.numeric import rnd
-
 from halyard.functions import calendar as cal
 from halyard.functions import text as tx
 from halyard.sources.io import read_table

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions.numeric import rnd
-
 from halyard.functions import risk as rf
 from halyard.operators import customers as cu
 from halyard.plans import adapters as ad

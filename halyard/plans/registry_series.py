@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from halyard.functions.numeric import rnd
-
 from halyard.functions import calendar as cal
 from halyard.operators import forecast_eval as fe
 from halyard.operators import timeseries as ts
