@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -53,21 +54,46 @@ def get_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for reliable checkpoints and intermediate tables.
+    """Shared folder for reliable checkpoints and intermediate tables: the one
+    given to ``setCheckpointDir``, else ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only pick one when
-    it is unset (local tests), never override a configured value.
+    Only a local master gets a folder of its own where neither is set. On a
+    cluster a machine-local folder would lose rows, so that is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = sc.getCheckpointDir()
+    if path:
+        return path
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="halyard-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    try:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # sessions without a local SparkContext (Spark Connect)
-        pass
-    return path
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir() or path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that
+    functions pickled by module reference resolve on every executor even when
+    the driver alone has the repository on its path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{name}-ship-"), f"{name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join(name, os.path.relpath(full, root)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
