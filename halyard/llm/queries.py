@@ -5,10 +5,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from halyard.llm import simhash
-from halyard.llm.common import table
+from halyard.llm import decontam, langid, packing, simhash
+from halyard.llm.common import fraction, table
+
+#: The tokenizer file of the queries; the operators take a path.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def held_out(key: str = "doc_id"):
+    return F.coalesce(fraction(4, key) == 2, F.lit(False))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1,024 tokens."""
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack(docs, TOKENIZER)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs), ["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +42,16 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, and the item."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+QUERIES = (op5_packing, op8_language_id, op9_simhash_near_dedup, op10_decontamination)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash_near_dedup,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def llm_oracles() -> dict[str, str]:
