@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import decontam, langid, packing, simhash
+from halyard.llm import decontam, langid, lines, packing, simhash
 from halyard.llm.common import fraction, table
 
 #: The tokenizer file of the queries; the operators take a path.
@@ -30,6 +30,11 @@ def packed(docs: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with one occurrence of each group of alike lines kept."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
@@ -47,7 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
-QUERIES = (op5_packing, op8_language_id, op9_simhash_near_dedup, op10_decontamination)
+QUERIES = (op5_packing, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_decontamination)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
