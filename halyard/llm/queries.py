@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import decontam, langid, lines, packing, simhash
+from halyard.llm import decontam, langid, lines, packing, quality, simhash
 from halyard.llm.common import fraction, table
 
 #: The tokenizer file of the queries; the operators take a path.
@@ -20,6 +20,13 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(fraction(4, key) == 2, F.lit(False))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1,024 tokens."""
     return packed(table(spark, sf_dir, "documents"))
@@ -52,7 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
-QUERIES = (op5_packing, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_decontamination)
+QUERIES = (op1_quality, op5_packing, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_decontamination)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
