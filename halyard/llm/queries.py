@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import chat, decontam, langid, lines, packing, quality, simhash
+from halyard.llm import chat, decontam, langid, lines, packing, pii, quality, simhash
 from halyard.llm.common import fraction, table
 
 #: The tokenizer file of the queries; the operators take a path.
@@ -36,6 +36,16 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(extra), TOKENIZER))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and the words that reveal it."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"), ["doc_id"])
+    base = F.col("base")
+    terms = F.transform("terms", lambda t: F.struct(F.lit(pii.TERM).alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+    return found.select(
+        "doc_id", *[c.alias(n) for n, c in pii.counts(base).items()], F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.concat(base, terms)).alias("spans")
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1,024 tokens."""
     return packed(table(spark, sf_dir, "documents"))
@@ -68,7 +78,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
-QUERIES = (op1_quality, op2_chat_format, op5_packing, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_decontamination)
+QUERIES = (op1_quality, op2_chat_format, op3_pii, op5_packing, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_decontamination)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
