@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import chat, decontam, langid, lines, packing, pii, quality, simhash
+from halyard.llm import chat, decontam, html_main, langid, lines, packing, pii, quality, simhash
 from halyard.llm.common import fraction, table
 
 #: The tokenizer file of the queries; the operators take a path.
@@ -46,6 +46,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_main.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1,024 tokens."""
     return packed(table(spark, sf_dir, "documents"))
@@ -78,7 +83,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
-QUERIES = (op1_quality, op2_chat_format, op3_pii, op5_packing, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_decontamination)
+QUERIES = (op1_quality, op2_chat_format, op3_pii, op4_html_main_text, op5_packing, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_decontamination)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
