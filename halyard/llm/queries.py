@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import chat, decontam, html_main, langid, lines, packing, pii, quality, simhash
+from halyard.llm import ann, chat, decontam, html_main, langid, lines, packing, pii, quality, simhash
 from halyard.llm.common import fraction, table
 
 #: The tokenizer file of the queries; the operators take a path.
@@ -61,6 +61,11 @@ def packed(docs: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every 20th embedding."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with one occurrence of each group of alike lines kept."""
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
@@ -83,7 +88,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
-QUERIES = (op1_quality, op2_chat_format, op3_pii, op4_html_main_text, op5_packing, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_decontamination)
+QUERIES = (op1_quality, op2_chat_format, op3_pii, op4_html_main_text, op5_packing, op6_nearest_neighbours, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_decontamination)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
