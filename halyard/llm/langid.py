@@ -26,7 +26,7 @@ HIDDEN = 8
 PAD = 256
 #: Bound of the training sample: documents a language, and windows a document.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 300, 6
-EPOCHS, BATCH, RATE, SEED = 7, 512, 0.015, 7
+STEPS, BATCH, RATE, SEED = 150, 512, 0.015, 7
 #: Windows that are labelled together.
 BLOCK = 2048
 #: A document is rejected below this pooled probability of its best language.
@@ -130,8 +130,9 @@ def _gradients(model: Model, steps: np.ndarray, target: np.ndarray) -> list[np.n
     return g
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = EPOCHS, hidden: int = HIDDEN, seed: int = SEED) -> Model:
-    """Adam over shuffled windows; the same rows give the same model."""
+def train(texts: list[bytes], labels: list[str], updates: int = STEPS, hidden: int = HIDDEN, seed: int = SEED) -> Model:
+    """Adam over shuffled windows, as many steps for any number of them; the same
+    rows give the same model."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     rows, target = [], []
@@ -152,17 +153,17 @@ def train(texts: list[bytes], labels: list[str], epochs: int = EPOCHS, hidden: i
         return model
     x, y = np.concatenate(rows).astype(np.intp), np.array(target)
     params = [model.x, model.h, model.o, model.b]
-    first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), BATCH):
-            take = order[at : at + BATCH]
-            step += 1
-            rate = RATE * (1 - 0.9 * epoch / epochs)
-            for p, g, m, v in zip(params, _gradients(model, np.ascontiguousarray(x[take].T), y[take]), first, second):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    order = np.empty(0, np.int64)
+    for step in range(1, updates + 1):
+        if len(order) < min(BATCH, len(x)):
+            order = np.concatenate((order, rng.permutation(len(x))))
+        take, order = order[:BATCH], order[BATCH:]
+        rate = RATE * (1 - 0.9 * step / updates)
+        for p, g, m, v in zip(params, _gradients(model, np.ascontiguousarray(x[take].T), y[take]), first, second):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return model
 
 
