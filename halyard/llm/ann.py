@@ -220,7 +220,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         asking = asking.select("query", "vec", "point", "bound", "cell", block)
         own = points.select("gid", "first", "vec", "point", "cell")
         if blocks > 1:
-            own = own.join(asking.select("cell", "block").distinct(), "cell")
+            asked_for = asking.select(F.col("cell").alias("in"), F.col("block").alias("by")).distinct()
+            own = own.join(asked_for, F.col("cell") == F.col("in")).select("gid", "first", "vec", "point", "cell", F.col("by").alias("block"))
         else:
             own = own.withColumn("block", F.lit(0).cast("long"))
         return own.groupBy("cell", "block").cogroup(asking.groupBy("cell", "block")).applyInArrow(_searcher(far, keep), result)

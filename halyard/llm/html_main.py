@@ -1,14 +1,14 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree: its nodes are presentation
-paths (element with class, id and role, from the root), an element node has the
-child styles it occurs with, a content node the texts it holds. Over the m
+paths (element with class and id, from the root), an element node has the
+sequences of child styles it occurs with, a content node the texts it holds. Over the m
 pages with a node,
 
 - a text that n of them share has the entropy log n / log m; a content node's
   importance is one less the mean entropy of its texts;
-- an element node's own importance is the entropy (base m) of its child styles;
-- a branch's is (1 - g^l) own + g^l content, l child styles, g = 0.9, content
+- an element node's own importance is the entropy (base m) of its sequences;
+- a branch's is (1 - g^l) own + g^l content, l sequences, g = 0.9, content
   the mean over the content nodes below it, by their pages.
 
 Branches of little importance that have a presentation of their own (a class,
@@ -225,7 +225,7 @@ def _tree_rows(batches):
             page = _hash(source)
             blocks, nodes = parse(source)
             rows.update((host, x.path, True, _hash(x.text), page) for x in blocks if not x.dropped)
-            rows.update((host, x.path, False, _hash(" ".join(x.styles)), page) for x in nodes if not x.dropped)
+            rows.update((host, x.path, False, _hash(" ".join(x.styles)), page) for x in nodes if x.styles and not x.dropped)
         columns = list(zip(*rows)) or [()] * 5
         kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["host", "path", "content", "value", "page"])

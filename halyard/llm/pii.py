@@ -204,17 +204,13 @@ def cleaned(text: str, base: list[dict], terms: list[dict]) -> str:
 
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with `text` sanitised; null texts stay null."""
-    numbered = with_row_id(docs, "__row")
-    found = find_pii(numbered, ["__row"], text).withColumnsRenamed({"__row": "__of", "base": "__base", "terms": "__terms"}).filter(F.size("__base") > 0)
-    joined = numbered.join(found, F.col("__row") == F.col("__of"), "left")
+    numbered = with_row_id(docs, "__at")
+    found = find_pii(numbered, ["__at"], text).withColumnsRenamed({"__at": "__of", "base": "__base", "terms": "__terms"}).filter(F.size("__base") > 0)
+    joined = numbered.join(found, F.col("__at") == F.col("__of"), "left")
 
-    @F.pandas_udf("string")
+    @F.arrow_udf("string")
     def clean(t, b, x):
-        import pandas as pd
-
-        def listed(rows):
-            return [] if rows is None else list(rows)
-
-        return pd.Series([None if v is None else cleaned(v, listed(p), listed(q)) for v, p, q in zip(t, b, x)], dtype=object)
+        rows = zip(t.to_pylist(), b.to_pylist(), x.to_pylist())
+        return pa.array([None if v is None else cleaned(v, p or [], q or []) for v, p, q in rows], pa.string())
 
     return joined.select(*[clean(F.col(c).cast("string"), "__base", "__terms").alias(c) if c == text else F.col(c) for c in docs.columns])
