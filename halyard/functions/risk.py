@@ -52,8 +52,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _number(p) -> Column:
+    """A probability that is NaN is unknown: in Spark NaN is above every cut."""
+    p = _c(p).cast("double")
+    return F.when(~F.isnan(p), p)
+
+
 def risk_level(p) -> Column:
-    p = _c(p)
+    p = _number(p)
     expr = None
     for cut, name in SERVING_TIERS:
         expr = F.when(p >= cut, name) if expr is None else expr.when(p >= cut, name)
@@ -71,7 +77,7 @@ def risk_band(p) -> Column:
 
 
 def recommendations(p) -> Column:
-    p = _c(p)
+    p = _number(p)
     expr = None
     default = None
     for cut, items in RECOMMENDATIONS:
@@ -85,7 +91,7 @@ def recommendations(p) -> Column:
 
 def classify(p, threshold) -> Column:
     thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    return _c(p) >= thr
+    return _number(p) >= thr
 
 
 def sweep_thresholds() -> list[float]:

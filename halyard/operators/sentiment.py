@@ -51,15 +51,16 @@ def score_feedback(df: DataFrame, text_col: str = "feedback_text", label_col: st
     })
 
 
-def score_with_model(df: DataFrame, text_col: str, predict: Callable, max_chars: int = 512) -> DataFrame:
+def score_with_model(df: DataFrame, text_col: str, predict: Callable) -> DataFrame:
     """J4 model hook: ``predict(pandas.Series[str]) -> DataFrame[label, score]``
-    runs per Arrow batch inside the executors; labels go through the alias
-    table and are expanded into three-way scores (J3)."""
+    runs per Arrow batch inside the executors on whole texts (a model with a
+    length limit splits them itself); labels go through the alias table and
+    are expanded into three-way scores (J3)."""
     schema = T.StructType([T.StructField("raw_label", T.StringType()), T.StructField("confidence", T.DoubleType())])
 
     @F.pandas_udf(schema)
     def _infer(texts: pd.Series) -> pd.DataFrame:
-        out = predict(texts.fillna("").str.slice(0, max_chars))
+        out = predict(texts.fillna(""))
         return pd.DataFrame({"raw_label": out["label"].astype(str), "confidence": out["score"].astype(float)})
 
     x = df.withColumn("_m", _infer(F.col(text_col)))

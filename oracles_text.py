@@ -42,7 +42,7 @@ INDEX = "q0 AS (SELECT 1)" + _terms_cte("documents", "doc_id", "text", "dtf") +
 st AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM dtf GROUP BY 1),
 vocab AS (
   SELECT term, df, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1.0 AS idf
-  FROM st ORDER BY cf DESC, term LIMIT 5000
+  FROM st
 ),
 dw AS (SELECT d.id AS doc_id, d.term, d.tf * v.idf AS w FROM dtf d JOIN vocab v ON d.term = v.term),
 post AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM dw)"""
