@@ -146,8 +146,8 @@ def additive_forecast(dd: DataFrame, horizon: int = 30, components: bool = False
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         try:
             return _fit(pdf)
-        except (np.linalg.LinAlgError, ValueError):  # this series errored: no rows
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+        except (np.linalg.LinAlgError, ValueError):  # this series errored: no rows, of the declared types
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
 
     def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
@@ -245,8 +245,21 @@ def _arima_forecast(y: np.ndarray, h: int, d: int = 1):
     return yf, se, best["order"]
 
 
+TAIL_DAYS, FALLBACK_ORDER = 7, "tail_mean"
+
+
+def _tail_mean(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forecast of a series that no model fits: the mean of its last days,
+    with their spread."""
+    tail = y[~np.isnan(y)][-TAIL_DAYS:]
+    level = float(tail.mean()) if len(tail) else 0.0
+    spread = float(tail.std(ddof=1)) if len(tail) > 1 else 0.0
+    return np.full(horizon, level), np.full(horizon, spread)
+
+
 def arima_forecast(dd: DataFrame, horizon: int = 30) -> DataFrame:
-    """Seasonal ARIMA (m = 7) per series, 90 % intervals."""
+    """Seasonal ARIMA (m = 7) per series, 90 % intervals. A series that
+    the model can't fit gets the tail mean, named so in ``order``."""
     reg = ts.regularize_daily(dd).select(KEY, "ds", "y")
     schema = T.StructType(list(FORECAST_SCHEMA.fields) + [T.StructField("order", T.StringType())])
 
@@ -255,8 +268,8 @@ def arima_forecast(dd: DataFrame, horizon: int = 30) -> DataFrame:
         y = pdf["y"].to_numpy(dtype=float)
         try:
             yf, se, order = _arima_forecast(y, horizon)
-        except (np.linalg.LinAlgError, ValueError):  # this series errored: no rows
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+        except (np.linalg.LinAlgError, ValueError):  # too short or degenerate for the model
+            yf, se, order = *_tail_mean(y, horizon), FALLBACK_ORDER
         last = pd.Timestamp(pdf["ds"].iloc[-1])
         days = [(last + pd.Timedelta(days=i)).date() for i in range(1, horizon + 1)]
         return pd.DataFrame({KEY: pdf[KEY].iloc[0], "ds": days, "yhat": yf, "yhat_lower": yf - Z90 * se,
@@ -388,9 +401,15 @@ def window_forecast(dd: DataFrame, horizon: int = 30, lookback: int = LOOKBACK,
     last = reg.select(KEY, "ds", "y", rn.alias("_rn")).filter(F.col("_rn") <= lookback)
     last = last.groupBy(KEY).agg(F.max("ds").alias("ds"),
                                  F.array_sort(F.collect_list(F.struct("ds", "y"))).alias("_p"))
-    last = last.filter(F.size("_p") == lookback).select(KEY, "ds", F.transform("_p", lambda p: p["y"]).alias("lookback"))
+    last = last.select(KEY, "ds", F.transform("_p", lambda p: p["y"]).alias("lookback"))
+    short = last.filter(F.size("lookback") < lookback)
+    last = last.filter(F.size("lookback") == lookback)
     pred = last.crossJoin(F.broadcast(w1)).crossJoin(F.broadcast(w2)).mapInPandas(
         apply_head, f"{KEY} string, ds date, yhat array<double>")
+    # a series without a whole window: the mean of its last days
+    tail = F.slice("lookback", F.greatest(F.lit(1), F.size("lookback") - TAIL_DAYS + 1), TAIL_DAYS)
+    mean = F.aggregate(tail, F.lit(0.0), lambda a, y: a + F.coalesce(y, F.lit(0.0)), lambda a: a / F.size(tail))
+    pred = pred.unionByName(short.select(KEY, "ds", F.array_repeat(mean, horizon).alias("yhat")))
     pts = pred.select(KEY, F.posexplode("yhat").alias("i", "yhat"), F.col("ds").alias("_last")).select(
         KEY, F.date_add("_last", F.col("i") + 1).alias("ds"), "yhat")
     return fe.residual_interval(pts, fe.tail_sigma(reg), "N-BEATS")
@@ -437,6 +456,12 @@ def forecast_best(dd: DataFrame, horizon: int = 30, holdout: int = 30,
                   models=("Prophet", "ARIMA", "N-BEATS")) -> DataFrame:
     """Forecast every series with its own best model."""
     lb = holdout_evaluation(dd, holdout, models)
-    best = lb.filter(F.col("is_best")).select(KEY, F.col("model").alias("_best"))
-    fc = fe.union_forecasts(*[MODELS[m](dd, horizon) for m in models])
+    checkpoint_dir(dd.sparkSession)
+    best = lb.filter(F.col("is_best")).select(KEY, F.col("model").alias("_best")).checkpoint(eager=True)
+
+    def own(m: str) -> DataFrame:
+        # ARIMA fits each series alone: only those that chose it; the others learn from all series
+        return dd.join(best.filter(F.col("_best") == m), KEY, "left_semi") if m == "ARIMA" else dd
+
+    fc = fe.union_forecasts(*[MODELS[m](own(m), horizon) for m in models])
     return fc.join(best, (fc[KEY] == best[KEY]) & (fc["model"] == best["_best"]), "left_semi")
