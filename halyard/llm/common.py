@@ -5,13 +5,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.session import checkpoint_dir, ship_package
 
 #: Rows that one Arrow batch carries to a Python worker. Texts may be long, so batches are short.
 BATCH_ROWS = "2000"
+#: Parts of a group in which a bounded sample is ranked first.
+SPREAD = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,18 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def lowest_hashes(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:
+    """The k rows of each group with the lowest hash of `key`. They are taken
+    within `SPREAD` parts of a group first, so that no task ranks more of a
+    large group than k rows a part."""
+    part = F.pmod(F.xxhash64(F.lit(1), key), F.lit(SPREAD))
+    order = (F.xxhash64(key), key)
+    first = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order))
+    last = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    spread = rows.withColumn("__part", part).withColumn("__k", first).filter(F.col("__k") <= k)
+    return spread.withColumn("__k", last).filter(F.col("__k") <= k).select(*rows.columns)
+
+
 def fraction(crc_mod: int, key: str):
     """crc32 of a key's decimal text, modulo `crc_mod`: the split rule of the
     learned operators."""

@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import fraction, python_ready, stored, with_row_id
+from halyard.llm.common import fraction, lowest_hashes, python_ready, stored, with_row_id
 
 WINDOW = 64
 HIDDEN = 8
@@ -196,8 +196,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: st
     base = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(
         (fraction(4, "id") != 2) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\S")
     )
-    ranked = base.select("id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")).alias("k"))
-    chosen = ranked.filter(F.col("k") <= per_language).select("id", "lang").distinct()
+    chosen = lowest_hashes(base.select("id", "lang"), "lang", "id", per_language).distinct()
     # bounded: at most per_language ids a language
     return base.join(F.broadcast(chosen), ["id", "lang"])
 

@@ -21,11 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.bpe import pieces
-from halyard.llm.common import fraction, python_ready
+from halyard.llm.common import fraction, lowest_hashes, python_ready
 
 WORDS, SIZE, REACH = 1 << 14, 32, 2
 FEATURES = 2 * SIZE + 2
@@ -186,8 +186,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
 def sample_ids(labels: DataFrame, id_col: str, label: str) -> DataFrame:
     """(id, y): at most SAMPLE ids a class, outside the held-out quarter."""
     rows = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter((fraction(4, "id") != 2) & F.col("y").isin(0, 1)).distinct()
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")))
-    return ranked.filter(F.col("k") <= SAMPLE).select("id", "y")
+    return lowest_hashes(rows, "y", "id", SAMPLE)
 
 
 @dataclass

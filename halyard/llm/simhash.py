@@ -313,5 +313,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     slim = numbered.select("__row", F.col(id_col).alias("__id"), F.col(text).alias("__text"))
     ranked = slim.withColumn("__rank", F.struct(F.col("__id").isNull().alias("late"), F.col("__id").alias("id"), F.col("__row").alias("row")))
     found = near_duplicates(ranked, ["__row", "__rank"], "__rank", "__text", width, max_distance)
-    losers = found.filter(F.col("component_id.row") != F.col("__row")).select("__row")
+    losers = stored(found.filter(F.col("component_id.row") != F.col("__row")).select("__row"))
     return numbered.join(losers, "__row", "left_anti").select(*docs.columns)
