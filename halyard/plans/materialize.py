@@ -1,4 +1,4 @@
-"""Intermediate tables written once per session to the shared checkpoint
+"""Intermediate tables written once per application to the shared checkpoint
 folder (``spark.checkpoint.dir``).
 
 Reused, expensive-to-derive tables (daily demand, the churn feature table)
@@ -19,22 +19,51 @@ from halyard.session import scratch_path
 _TABLES: dict = {}
 
 
-def materialized(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """``build()`` written once per (application, key), then read back."""
-    k = (spark.sparkContext.applicationId if _has_context(spark) else "session", key)
-    if k not in _TABLES:
-        path = scratch_path(spark, f"{key.replace('/', '_')}-{uuid.uuid4().hex[:8]}")
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder in any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def source_mark(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, length and modification time of the source files: it changes
+    when a table is rewritten."""
+    fs, top = _folder(spark, sf_dir)
+    out = []
+    for entry in fs.listStatus(top):
+        files = fs.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return tuple(sorted(out))
+
+
+def materialized(spark: SparkSession, key: str, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()`` written once per application, key and state of the source
+    files in ``sf_dir``, then read back; a rewritten source is built anew and
+    replaces the stored table."""
+    k = (spark.sparkContext.applicationId, key, sf_dir)
+    mark = source_mark(spark, sf_dir)
+    if k not in _TABLES or _TABLES[k][0] != mark:
+        path = scratch_path(spark, f"{key}-{uuid.uuid4().hex[:8]}")
         build().write.mode("overwrite").option("compression", "zstd").parquet(path)
-        _TABLES[k] = path
-    return spark.read.parquet(_TABLES[k])
+        old = _TABLES.pop(k, None)
+        _TABLES[k] = (mark, path)
+        if old:
+            _drop(spark, old[1])
+    return spark.read.parquet(_TABLES[k][1])
 
 
-def _has_context(spark: SparkSession) -> bool:
-    try:
-        spark.sparkContext
-        return True
-    except Exception:
-        return False
+def _drop(spark: SparkSession, path: str) -> None:
+    fs, p = _folder(spark, path)
+    fs.delete(p, True)
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete this application's stored tables; returns how many there were."""
+    own = [k for k in _TABLES if k[0] == spark.sparkContext.applicationId]
+    for k in own:
+        _drop(spark, _TABLES.pop(k)[1])
+    return len(own)
 
 
 def customer_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +71,7 @@ def customer_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     per session and stored like the source's ``dim_customers`` table."""
     from halyard.plans import adapters as ad
 
-    return materialized(spark, f"customer_base:{sf_dir}", lambda: ad.customer_base(spark, sf_dir))
+    return materialized(spark, "customer_base", sf_dir, lambda: ad.customer_base(spark, sf_dir))
 
 
 def daily_demand_fact(spark: SparkSession, sf_dir: str, series: str = "segment") -> DataFrame:
@@ -50,4 +79,4 @@ def daily_demand_fact(spark: SparkSession, sf_dir: str, series: str = "segment")
     the source's ``fact_daily_demand`` table."""
     from halyard.plans import adapters as ad
 
-    return materialized(spark, f"daily_demand:{series}:{sf_dir}", lambda: ad.daily_demand(spark, sf_dir, series))
+    return materialized(spark, f"daily_demand-{series}", sf_dir, lambda: ad.daily_demand(spark, sf_dir, series))

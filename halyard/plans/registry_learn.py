@@ -117,7 +117,7 @@ def _features(spark, d):
         feats = cu.engineer_features(customer_dimension(spark, d))
         return ln.with_class_weights(ev.stratified_split(feats, "customer_id", "churn", 0.8))
 
-    return materialized(spark, f"churn_features:{d}", build)
+    return materialized(spark, "churn_features", d, build)
 
 
 def _train_test(spark, d):

@@ -169,9 +169,9 @@ def _index(spark, d):
     """The TF-IDF index, built once per session (one tokenising pass) and
     stored in the shared folder; the vocabulary is read back from the
     stored postings and searches read the stored index."""
-    postings = materialized(spark, f"tfidf_postings:{d}",
+    postings = materialized(spark, "tfidf_postings", d,
                             lambda: se.tfidf_index(read_table(spark, d, "documents"))[0])
-    vocab = materialized(spark, f"tfidf_vocab:{d}", lambda: se.vocab_from_postings(postings))
+    vocab = materialized(spark, "tfidf_vocab", d, lambda: se.vocab_from_postings(postings))
     return postings, vocab
 
 
