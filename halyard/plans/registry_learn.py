@@ -125,20 +125,42 @@ def _train_test(spark, d):
     return f.filter(F.col("split") == "train"), f.filter(F.col("split") == "test")
 
 
-def a07_model_artifacts(spark, d):
+def _stored_model(spark, d):
+    """The scoring model as it is stored and loaded: fitted on the training
+    part, with the threshold that the sweep over its own hold-out
+    probabilities finds best, its metrics there, importances and the training
+    statistics."""
+    name = "Logistic Regression"
     train, test = _train_test(spark, d)
     model = ln.logistic_pipeline().fit(train)
-    metrics = ln.evaluate(model, test, "Logistic Regression").first().asDict()
+    pred = model.transform(test)
+    scored = pred.select(F.col(ln.LABEL).alias("label"), ln.probability(pred).alias("churn_probability"))
+    best = ev.optimal_threshold(ev.threshold_sweep(scored)).first()
+    metrics = ln.evaluate(model, test, name, best["threshold"]).first().asDict()
     path = _scratch(spark, "churn_model")
     io.save_model_artifact(model, path, {
-        "model_type": "Logistic Regression", "features": ln.BASE_FEATURES, "threshold": 0.5,
-        "metrics": {k: v for k, v in metrics.items() if k != "model"},
+        "model_type": name, "features": ln.BASE_FEATURES, "threshold": best["threshold"],
+        "metrics": {k: v for k, v in metrics.items() if k != "model" and v is not None},
+        "feature_importances": dict(ln.feature_importances(model, ln.BASE_FEATURES)),
         "training_stats": ln.training_stats(customer_dimension(spark, d)),
         "business": {"retention_cost": rf.RETENTION_COST, "churn_loss": rf.CHURN_LOSS,
-                     "campaign_success_rate": rf.CAMPAIGN_SUCCESS_RATE}})
-    loaded, meta = io.load_model_artifact(spark, path)
-    return ln.score_customers(loaded, test, meta["threshold"], meta["model_type"],
-                              meta["metrics"]["auc"] or 0.0, len(meta["features"]))
+                     "campaign_success_rate": rf.CAMPAIGN_SUCCESS_RATE,
+                     "precision": best["precision"], "recall": best["recall"]}})
+    return io.load_model_artifact(spark, path)
+
+
+def _scored(model, meta, feats):
+    return ln.score_customers(model, feats, meta["threshold"], meta["model_type"],
+                              meta["metrics"].get("auc", 0.0), len(meta["features"]))
+
+
+def _all_customers(spark, d):
+    return ln.with_class_weights(cu.engineer_features(customer_dimension(spark, d)))
+
+
+def a07_model_artifacts(spark, d):
+    model, meta = _stored_model(spark, d)
+    return _scored(model, meta, _all_customers(spark, d))
 
 
 def i01_train_logistic(spark, d):
@@ -171,8 +193,8 @@ def i04_tune_gbt(spark, d):
 def i05_compare_and_select(spark, d):
     train, test = _train_test(spark, d)
     parts = [ln.evaluate(ln.logistic_pipeline().fit(train), test, "Logistic Regression"),
-             ln.evaluate(ln.forest_pipeline(num_trees=30).fit(train), test, "Random Forest"),
-             ln.evaluate(ln.gbt_pipeline(max_iter=20).fit(train), test, "Gradient Boosting")]
+             ln.evaluate(ln.forest_pipeline().fit(train), test, "Random Forest"),
+             ln.evaluate(ln.gbt_pipeline().fit(train), test, "Gradient Boosting")]
     allm = parts[0].unionByName(parts[1]).unionByName(parts[2])
     best = allm.orderBy(F.desc("auc"), "model").limit(1).select(F.col("model").alias("best_model"))
     return allm.join(best, how="left", on=F.col("model") == F.col("best_model")).withColumn(
@@ -180,36 +202,30 @@ def i05_compare_and_select(spark, d):
 
 
 def i06_score_customers(spark, d):
-    train, _ = _train_test(spark, d)
-    model = ln.logistic_pipeline().fit(train)
-    feats = ln.with_class_weights(cu.engineer_features(customer_dimension(spark, d)))
-    return ln.score_customers(model, feats, 0.5, "Logistic Regression", 0.0, len(ln.BASE_FEATURES))
+    model, meta = _stored_model(spark, d)
+    return _scored(model, meta, _all_customers(spark, d))
 
 
 def i07_model_info(spark, d):
-    train, test = _train_test(spark, d)
-    model = ln.logistic_pipeline().fit(train)
-    m = ln.evaluate(model, test, "Logistic Regression").first().asDict()
-    return ln.model_info(spark, "Logistic Regression", ln.BASE_FEATURES, 0.5,
-                         {k: v for k, v in m.items() if k != "model" and v is not None})
+    _, meta = _stored_model(spark, d)
+    return ln.model_info(spark, meta["model_type"], meta["features"], meta["threshold"], meta["metrics"])
 
 
 def f06_top_features(spark, d):
     train, _ = _train_test(spark, d)
-    model = ln.forest_pipeline(ln.ADVANCED_FEATURES, num_trees=30).fit(train)
+    model = ln.forest_pipeline(ln.ADVANCED_FEATURES, num_trees=100).fit(train)
     return ln.top_features(spark, model, ln.ADVANCED_FEATURES, 10)
 
 
 def k01_stream_score(spark, d):
     from halyard.streaming import jobs
 
-    train, _ = _train_test(spark, d)
-    model = ln.logistic_pipeline().fit(train)
+    model, meta = _stored_model(spark, d)
     feats = cu.engineer_features(customer_dimension(spark, d)).select("customer_id", *ln.BASE_FEATURES)
     src, sink, ck = _scratch(spark, "k1_src"), _scratch(spark, "k1_sink"), _scratch(spark, "k1_ckpt")
     feats.repartition(4).write.mode("overwrite").parquet(src)
-    q = jobs.stream_score(spark, model, src, feats.schema, sink, ck, 0.5, model_name="Logistic Regression",
-                          n_features=len(ln.BASE_FEATURES))
+    q = jobs.stream_score(spark, model, src, feats.schema, sink, ck, meta["threshold"], model_name=meta["model_type"],
+                          auc=meta["metrics"].get("auc", 0.0), n_features=len(meta["features"]))
     q.awaitTermination()
     return spark.read.parquet(sink)
 

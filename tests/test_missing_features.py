@@ -32,3 +32,14 @@ def test_nan_is_no_tier(spark):
 def test_feature_sets():
     assert len(ln.BASE_FEATURES) == 12 and "payment_method" not in ln.BASE_FEATURES
     assert "senior_with_family" in ln.ADVANCED_FEATURES and "gender" in ln.FALLBACK_FEATURES
+
+
+def test_scores_carry_the_stored_threshold_and_auc(spark):
+    from halyard.plans import registry_learn as rl
+    from tests.conftest import SF_SMALL
+
+    info = rl.i07_model_info(spark, SF_SMALL).first()
+    rows = rl.i06_score_customers(spark, SF_SMALL).collect()
+    assert {r["optimal_threshold"] for r in rows} == {info["threshold"]}
+    assert {r["model_info"]["auc_score"] for r in rows} == {info["metrics"]["auc"]}
+    assert all(r["churn_prediction"] == (r["churn_probability"] >= info["threshold"]) for r in rows)
