@@ -68,7 +68,7 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with one occurrence of each group of alike lines kept."""
-    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), max_distance=None).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
