@@ -19,7 +19,6 @@ from halyard.sources import io
 PAGE_LIMIT, PAGE_OFFSET = 50, 100
 SAMPLE_N = 100
 TOP_RISK_N = 20
-SMALL_GRID = {"maxIter": [10, 20], "maxDepth": [3]}
 
 
 def _labelled(spark, d):
@@ -186,7 +185,7 @@ def i03_train_gbt(spark, d):
 
 def i04_tune_gbt(spark, d):
     train, test = _train_test(spark, d)
-    best, rows = ln.tune_gbt(train, grid=SMALL_GRID, folds=3)
+    best, rows = ln.tune_gbt(train)
     return ln.evaluate(best, test, "Tuned Gradient Boosting")
 
 
