@@ -44,7 +44,7 @@ BLOCKS = frozenset(
     "tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math canvas object select".split())
+RAW = frozenset("script style textarea title noscript iframe template svg annotation annotation-xml canvas object select".split())
 DROPPED = frozenset("head nav footer aside form dialog menu button label fieldset search input audio video map".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tooltip status".split())
 #: Parts of a class or an id that name what isn't the article.
@@ -112,6 +112,29 @@ def _opened(tag: str, attributes: dict[str, str], inside: Node) -> Node:
     return Node(tag, f"{inside.path}/{style}", dropped, inside.article or own_article, inside.main or own_main)
 
 
+def _raw_end(source: str, at: int, tag: str, blocks: list[str]) -> int:
+    """Where an element without parsed content ends: after its end tag, or, but
+    for scripts and styles, where one of the open `blocks` ends before that."""
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+    if tag in ("script", "style"):
+        return end.end() if end else len(source)
+    inner = []
+    for m in _TAG.finditer(source, at, end.start() if end else len(source)):
+        name = (m[2] or "").lower()
+        if name not in BLOCKS:
+            continue
+        if not m[1]:
+            if not end and blocks and blocks[-1] == "p":
+                return m.start()  # a block ends an open paragraph
+            inner.append(name)
+        elif name in inner:
+            while inner.pop() != name:
+                pass
+        elif name in blocks:
+            return m.start()
+    return end.end() if end else at
+
+
 def parse(source: str) -> tuple[list[Block], list[Node]]:
     """The blocks of a page in order, and all its block elements. Forgiving:
     unclosed, misnested and cut-off elements hold what follows them."""
@@ -172,8 +195,8 @@ def parse(source: str) -> tuple[list[Block], list[Node]]:
                     break
         node = _opened(tag, _attributes(m[3]), stack[-1])
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = end.end() if end else size
+            if tag in ("script", "style") or not m[3].rstrip().endswith("/"):
+                at = _raw_end(source, at, tag, [n.tag for n in stack if n.tag in BLOCKS])
             continue
         if m[3].rstrip().endswith("/") and not block:
             continue
@@ -192,14 +215,17 @@ def parse(source: str) -> tuple[list[Block], list[Node]]:
     return blocks, nodes
 
 
-def main_text(source: str | None, low: frozenset[str] = frozenset()) -> str:
+def main_text(source: str | None, low: frozenset[str] | None = None) -> str:
     """The page's kept blocks, one a line. `low` has the paths of its site's
-    branches of little importance."""
+    branches of little importance, None if the site has too few pages to tell;
+    then a marked article (main) that holds half of the text stands for the
+    page, with the headings (h1) outside."""
     blocks, _ = parse(source or "")
     kept = [b for b in blocks if not b.dropped and not (low and _under(b.path, low))]
     for marked in (lambda b: b.article, lambda b: b.main):
-        if any(marked(b) for b in kept):
-            kept = [b for b in kept if marked(b)]
+        inside = sum(len(b.text) for b in kept if marked(b))
+        if low is None and inside and 2 * inside >= sum(len(b.text) for b in kept):
+            kept = [b for b in kept if marked(b) or "/h1" in b.path]
             break
     return "\n".join(b.text for b in kept)
 
@@ -263,12 +289,13 @@ def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 def low_branches(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, low): the paths that go, a list a host (as long as its templates
-    have branches of their own, not as its pages)."""
+    have branches of their own, not as its pages); empty for a host of enough
+    pages that has none."""
     last = F.element_at(F.split("path", "/"), -1)
     own = last.rlike(r"[.#]") | ~F.col("path").rlike(r"/(article|main)[^/]*(/|$)")
     plain = last.rlike(r"^(html|body|article|main)")
-    found = importance(pages, url, html).filter((F.col("importance") < LOW) & (F.col("pages") >= MIN_PAGES) & own & ~plain)
-    return found.groupBy("host").agg(F.collect_set("path").alias("low"))
+    found = importance(pages, url, html).filter(F.col("pages") >= MIN_PAGES)
+    return found.groupBy("host").agg(F.collect_set(F.when((F.col("importance") < LOW) & own & ~plain, F.col("path"))).alias("low"))
 
 
 def extract(pages: DataFrame, keep: list[str], url: str = "url", html: str = "html") -> DataFrame:
@@ -283,7 +310,7 @@ def extract(pages: DataFrame, keep: list[str], url: str = "url", html: str = "ht
     def run(batches):
         k = len(keep)
         for b in batches:
-            texts = [main_text(s, frozenset(x or ())) for s, x in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist())]
+            texts = [main_text(s, None if x is None else frozenset(x)) for s, x in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[: len(keep)])

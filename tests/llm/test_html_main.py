@@ -85,3 +85,24 @@ def test_empty_table_and_clashing_names(spark):
 
 def test_entropy_of_styles():
     assert math.isclose(sum(-p * math.log(p, 4) for p in [0.25] * 4), 1)
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<article><p>a</p><svg viewBox='0 0 1 1'/><p>b</p></article><p><svg></svg></p>", "a\nb"),
+        ("<article><div>a<select><option>x</div><p>b</p></article><form><select></select></form>", "a\nb"),
+        ("<article><p>a</p><div><iframe src='x'></div><p>b</p></article>", "a\nb"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", "so x=2 holds"),
+        ("<h1>Headline</h1><article><p>the body text</p></article>", "Headline\nthe body text"),
+        ("<div><p>a whole body of many words</p></div><article><p>small</p></article>", "a whole body of many words\nsmall"),
+    ],
+)
+def test_article_text_isnt_cut(source, text):
+    assert H.main_text(source) == text
+
+
+def test_lead_beside_the_article_stays_in_a_site(spark):
+    rows = [(k, "http://a.example/", f"<p class='lead'>lead {k}</p><article><p>body {k} has more text than its lead</p></article>") for k in range(20)]
+    found = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()
+    assert all(r["text"] == f"lead {r['page_id']}\nbody {r['page_id']} has more text than its lead" for r in found) and len(found) == 20
