@@ -8,6 +8,7 @@ merges never cross a piece."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -84,11 +85,16 @@ def pieces(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
 
 class Encoder:
     """Ids of texts by a byte-level BPE file, each text closed by `end_id`.
-    Strings of special tokens inside a text are ordinary text."""
+    A text that holds one of the file's added tokens is left to the tokenizer."""
 
     def __init__(self, path: str, end_id: int = 0):
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id, self.known = end_id, {}
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        # a normalised token may match in other forms than its own
+        self.plain = not any(t.content and t.normalized and self.tokenizer.normalizer for t in tokens)
+        contents = sorted((re.escape(t.content) for t in tokens if t.content), key=len, reverse=True)
+        self.added = re.compile("|".join(contents)) if contents else None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids a text), each text's closing id included."""
@@ -106,7 +112,22 @@ class Encoder:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         return np.concatenate(ids), np.concatenate(counts)
 
+    def _holds_added(self, text: str) -> bool:
+        return not self.plain or bool(self.added and self.added.search(text))
+
     def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        held = [k for k, t in enumerate(texts) if self._holds_added(t)]
+        if not held:
+            return self._pieced(texts)
+        # the others keep their places; those texts come in between as empty ones
+        special = set(held)
+        ids, counts = self._pieced(["" if k in special else t for k, t in enumerate(texts)])
+        rows = np.split(ids, np.cumsum(counts)[:-1])
+        for k in held:
+            rows[k] = np.array([*self.tokenizer.encode(texts[k], add_special_tokens=False).ids, self.end_id], ids.dtype)
+        return np.concatenate(rows), np.array([len(r) for r in rows], counts.dtype)
+
+    def _pieced(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found, closes = pieces(texts)
         coded = found.dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()

@@ -73,3 +73,15 @@ def test_empty_table_and_clashing_names(odd, empty):
     assert packing.pack(empty, PATH).count() == 0
     clash = odd.withColumnRenamed("source", "ids").withColumnRenamed("n_chars", "sequence_id")
     assert packing.pack(clash, PATH).count() == packing.pack(odd, PATH).count()
+
+
+def test_added_tokens_have_the_ids_of_the_tokenizer_as_loaded():
+    loaded = Tokenizer.from_file(PATH)
+    added = [t.content for t in loaded.get_added_tokens_decoder().values()]
+    assert added
+    texts = ["plain", *(f"a {x} b{x}{x}" for x in added), "", added[0], "last one's"]
+    ids, counts = OWN.encode(texts)
+    ends = np.cumsum(counts)
+    expected = [loaded.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == expected
+    assert expected[1] != plain_ids(texts[1])
