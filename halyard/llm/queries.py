@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import ann, chat, decontam, html_main, langid, lines, packing, pii, quality, simhash
+from halyard.llm import ann, chat, decontam, html_main, kmeans, langid, lines, oracles, packing, pii, quality, resample, secrets, simhash
 from halyard.llm.common import fraction, table
 
 #: The tokenizer file of the queries; the operators take a path.
@@ -88,7 +88,31 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
-QUERIES = (op1_quality, op2_chat_format, op3_pii, op4_html_main_text, op5_packing, op6_nearest_neighbours, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_decontamination)
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, and the values that one or two owners hold."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+    base = F.col("base")
+    return found.select(
+        "doc_id", *[c.alias(n) for n, c in secrets.counts(base).items()], F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.all_written(base, F.col("live")).alias("spans"),
+        F.size("live").cast("long").alias("n_live"), "n_copied"
+    )
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document towards the benchmark's texts, and
+    the rank of the drawn twentieth."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components in 8 clusters, after 10 rounds."""
+    return kmeans.report(*kmeans.cluster(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = (
+    op1_quality, op2_chat_format, op3_pii, op4_html_main_text, op5_packing, op6_nearest_neighbours, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_decontamination,
+    op11_secret_scan, op12_resampling, op13_centroids,
+)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -96,4 +120,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return oracles.all_oracles()
