@@ -37,15 +37,17 @@ def source_mark(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted(out))
 
 
-def materialized(spark: SparkSession, key: str, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+def materialized(spark: SparkSession, key: str, sf_dir: str, build: Callable[[], DataFrame],
+                 partition_by: list[str] | None = None) -> DataFrame:
     """``build()`` written once per application, key and state of the source
     files in ``sf_dir``, then read back; a rewritten source is built anew and
-    replaces the stored table."""
+    replaces the stored table. ``partition_by`` columns become folders, which
+    reads prune."""
     k = (spark.sparkContext.applicationId, key, sf_dir)
     mark = source_mark(spark, sf_dir)
     if k not in _TABLES or _TABLES[k][0] != mark:
         path = scratch_path(spark, f"{key}-{uuid.uuid4().hex[:8]}")
-        build().write.mode("overwrite").option("compression", "zstd").parquet(path)
+        build().write.mode("overwrite").option("compression", "zstd").partitionBy(*(partition_by or [])).parquet(path)
         old = _TABLES.pop(k, None)
         _TABLES[k] = (mark, path)
         if old:

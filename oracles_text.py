@@ -189,6 +189,12 @@ SELECT query_id, doc_id, round(s, 4) AS similarity_score, CAST(rank AS INTEGER)
         "FROM qw JOIN post p ON qw.term = p.term",
         "FROM qw JOIN post p ON qw.term = p.term WHERE p.doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"), """
 SELECT query_id, doc_id, round(s, 4) AS similarity_score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10"""),
+    "j06c_search_hits": _w(FB + "," + TFIDF_SEARCH.replace(
+        "FROM qw JOIN post p ON qw.term = p.term",
+        "FROM qw JOIN post p ON qw.term = p.term WHERE p.doc_id IN (SELECT feedback_id FROM fb WHERE sentiment_label = 'negative')"), """
+SELECT query_id, doc_id, round(s, 4) AS similarity_score, CAST(rank AS INTEGER) AS rank,
+  feedback_text, customer_id, category, channel, sentiment_label, sentiment_score, created_at
+FROM rk JOIN fb ON fb.feedback_id = rk.doc_id WHERE rank <= 5"""),
     "j07_vector_search": _w(VECTOR, """
 SELECT query_id, vec_id, label, round(s, 4) AS similarity, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10"""),
     "j07b_vector_search_filtered": _w(VECTOR.replace("FROM en, qn WHERE en.n > 0", "FROM en, qn WHERE en.label = 3 AND en.n > 0"), """
