@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from halyard.functions import text as tx
 from halyard.functions.numeric import rnd
+from halyard.operators import impact_search as im
 from halyard.operators import search as se
 from halyard.operators import sentiment as st
+from halyard.operators import vector_index as vi
 from halyard.plans import adapters as ad
 from halyard.plans.materialize import materialized
 from halyard.sources.io import read_table
@@ -180,15 +182,32 @@ def j05_tfidf_index(spark, d):
     return postings.select("doc_id", "term", rnd("weight", 6).alias("weight"))
 
 
-def j06_tfidf_search(spark, d):
+def _impact(spark, d):
+    """The index by impact and by document, stored once per session from the
+    stored postings."""
     postings, vocab = _index(spark, d)
-    return se.tfidf_search(postings, vocab, _bench_queries(spark, d), k=TOP_K)
+    shards = im.shard_count(postings)
+    impact = materialized(spark, "tfidf_impact", d, lambda: im.by_impact(postings, shards), ["shard"])
+    levels = materialized(spark, "tfidf_levels", d, lambda: im.level_bounds(impact))
+    documents = materialized(spark, "tfidf_documents", d, lambda: im.by_document(postings, shards), ["id_shard"])
+    return im.ImpactIndex(impact, levels, documents, vocab, shards)
+
+
+def j06_tfidf_search(spark, d):
+    return im.pruned_search(_impact(spark, d), _bench_queries(spark, d), k=TOP_K)
 
 
 def j06b_tfidf_search_filtered(spark, d):
     docs = read_table(spark, d, "documents")
-    postings, vocab = _index(spark, d)
-    return se.tfidf_search(postings, vocab, _bench_queries(spark, d), k=TOP_K, docs=docs, filters={"lang": "en"})
+    return im.pruned_search(_impact(spark, d), _bench_queries(spark, d), k=TOP_K, docs=docs, filters={"lang": "en"})
+
+
+def j06c_search_hits(spark, d):
+    """Hits with the document's own fields: text, customer, category,
+    channel, sentiment label and time."""
+    fb = _fb(spark, d).withColumnRenamed("feedback_id", "doc_id")
+    fields = ["feedback_text", "customer_id", "category", "channel", "sentiment_label", "sentiment_score", "created_at"]
+    return im.pruned_search(_impact(spark, d), _bench_queries(spark, d), k=5, docs=fb, filters={"sentiment_label": "negative"}, fields=fields)
 
 
 def _centroid_queries(spark, d):
@@ -207,7 +226,7 @@ def j07b_vector_search_filtered(spark, d):
 
 
 def j08_ann_search(spark, d):
-    return se.ann_search(read_table(spark, d, "embeddings"), _centroid_queries(spark, d), k=TOP_K)
+    return vi.search(vi.build_index(read_table(spark, d, "embeddings")), _centroid_queries(spark, d), k=TOP_K)
 
 
 def j09_index_stats(spark, d):
