@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
 from halyard.functions import risk as rf
+from halyard.operators import boosting as bo
 from halyard.operators import customers as cu
 from halyard.operators import evaluation as ev
 from halyard.operators import learn as ln
@@ -124,27 +126,52 @@ def _train_test(spark, d):
     return f.filter(F.col("split") == "train"), f.filter(F.col("split") == "test")
 
 
+def _tuned(spark, d):
+    """The grid search's result, trained once per session and state of the
+    source files and stored as one JSON document."""
+    def build():
+        train, _ = _train_test(spark, d)
+        return spark.createDataFrame([(json.dumps(ln.tune_gbt(train).document()),)], "document string")
+
+    return bo.Tuned.from_document(json.loads(materialized(spark, "tuned_gbt", d, build).first()["document"]))
+
+
 def _stored_model(spark, d):
-    """The scoring model as it is stored and loaded: fitted on the training
-    part, with the threshold that the sweep over its own hold-out
-    probabilities finds best, its metrics there, importances and the training
-    statistics."""
-    name = "Logistic Regression"
+    """The production model as it is stored and loaded: the tuned settings
+    refitted on the advanced features, with the threshold that the sweep over
+    its own hold-out probabilities finds best, its metrics there, importances
+    and the training statistics."""
+    name = "Tuned Gradient Boosting"
+
+    def build():
+        train, test = _train_test(spark, d)
+        tuned = _tuned(spark, d)
+        model = bo.fit(train, ln.ADVANCED_FEATURES, tuned.setting, tuned.rounds, ln.LABEL, "customer_id", tuned.scores)
+        scored = ln.probabilities(model, test, [ln.LABEL]).withColumnRenamed(ln.LABEL, "label")
+        best = ev.optimal_threshold(ev.threshold_sweep(scored)).first()
+        metrics = ln.evaluate(model, test, name, best["threshold"]).first().asDict()
+        meta = {
+            "model_type": name, "features": ln.ADVANCED_FEATURES, "threshold": best["threshold"],
+            "metrics": {k: v for k, v in metrics.items() if k != "model" and v is not None},
+            "feature_importances": dict(ln.feature_importances(model, ln.ADVANCED_FEATURES)),
+            "training_stats": ln.training_stats(customer_dimension(spark, d)),
+            "business": {"retention_cost": rf.RETENTION_COST, "churn_loss": rf.CHURN_LOSS,
+                         "campaign_success_rate": rf.CAMPAIGN_SUCCESS_RATE,
+                         "precision": best["precision"], "recall": best["recall"]}}
+        return spark.createDataFrame([(json.dumps(model.document()), json.dumps(meta, sort_keys=True))], "model string, meta string")
+
+    row = materialized(spark, "churn_model", d, build).first()
+    return bo.Tuned.from_document(json.loads(row["model"])), json.loads(row["meta"])
+
+
+def _stored_pipeline(spark, d):
+    """A fitted pipeline and its side document, saved and loaded."""
     train, test = _train_test(spark, d)
     model = ln.logistic_pipeline().fit(train)
-    pred = model.transform(test)
-    scored = pred.select(F.col(ln.LABEL).alias("label"), ln.probability(pred).alias("churn_probability"))
-    best = ev.optimal_threshold(ev.threshold_sweep(scored)).first()
-    metrics = ln.evaluate(model, test, name, best["threshold"]).first().asDict()
-    path = _scratch(spark, "churn_model")
-    io.save_model_artifact(model, path, {
-        "model_type": name, "features": ln.BASE_FEATURES, "threshold": best["threshold"],
-        "metrics": {k: v for k, v in metrics.items() if k != "model" and v is not None},
-        "feature_importances": dict(ln.feature_importances(model, ln.BASE_FEATURES)),
-        "training_stats": ln.training_stats(customer_dimension(spark, d)),
-        "business": {"retention_cost": rf.RETENTION_COST, "churn_loss": rf.CHURN_LOSS,
-                     "campaign_success_rate": rf.CAMPAIGN_SUCCESS_RATE,
-                     "precision": best["precision"], "recall": best["recall"]}})
+    metrics = ln.evaluate(model, test, "Logistic Regression").first().asDict()
+    path = _scratch(spark, "churn_pipeline")
+    io.save_model_artifact(model, path, {"model_type": "Logistic Regression", "features": ln.BASE_FEATURES, "threshold": 0.5,
+                                         "metrics": {k: v for k, v in metrics.items() if k != "model" and v is not None}})
     return io.load_model_artifact(spark, path)
 
 
@@ -158,6 +185,8 @@ def _all_customers(spark, d):
 
 
 def a07_model_artifacts(spark, d):
+    """Every customer scored by the stored production model; the saved
+    pipeline comes back with the same probabilities (checked in tests)."""
     model, meta = _stored_model(spark, d)
     return _scored(model, meta, _all_customers(spark, d))
 
@@ -184,9 +213,14 @@ def i03_train_gbt(spark, d):
 
 
 def i04_tune_gbt(spark, d):
-    train, test = _train_test(spark, d)
-    best, rows = ln.tune_gbt(train)
-    return ln.evaluate(best, test, "Tuned Gradient Boosting")
+    _, test = _train_test(spark, d)
+    return ln.evaluate(_tuned(spark, d), test, "Tuned Gradient Boosting")
+
+
+def i04b_tuning_scores(spark, d):
+    """Every grid point with its mean AUC over the folds."""
+    kinds = "stepSize double, maxDepth int, subsamplingRate double, maxIter int, auc double, folds int"
+    return spark.createDataFrame([tuple(s.values()) for s in _tuned(spark, d).scores], kinds)
 
 
 def i05_compare_and_select(spark, d):
@@ -211,8 +245,7 @@ def i07_model_info(spark, d):
 
 
 def f06_top_features(spark, d):
-    train, _ = _train_test(spark, d)
-    model = ln.forest_pipeline(ln.ADVANCED_FEATURES, num_trees=100).fit(train)
+    model, _ = _stored_model(spark, d)
     return ln.top_features(spark, model, ln.ADVANCED_FEATURES, 10)
 
 
@@ -220,7 +253,7 @@ def k01_stream_score(spark, d):
     from halyard.streaming import jobs
 
     model, meta = _stored_model(spark, d)
-    feats = cu.engineer_features(customer_dimension(spark, d)).select("customer_id", *ln.BASE_FEATURES)
+    feats = cu.engineer_features(customer_dimension(spark, d)).select("customer_id", *ln.ADVANCED_FEATURES)
     src, sink, ck = _scratch(spark, "k1_src"), _scratch(spark, "k1_sink"), _scratch(spark, "k1_ckpt")
     feats.repartition(4).write.mode("overwrite").parquet(src)
     q = jobs.stream_score(spark, model, src, feats.schema, sink, ck, meta["threshold"], model_name=meta["model_type"],
