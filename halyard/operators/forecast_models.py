@@ -3,12 +3,12 @@
 * I8/I9 additive model: the design matrix (piecewise-linear trend with
   changepoint hinges, weekly / yearly / monthly Fourier terms, windowed
   holiday indicators, standardised regressors) is built as native Spark
-  columns; one ridge fit per series runs in ``applyInPandas`` after a
-  shuffle by ``series_id``. A daily series holds one row per day, so each
-  group is bounded by its date span, never by raw data volume.
-* I10 seasonal ARIMA: per series in ``applyInPandas``; orders chosen by AIC
-  over a bounded grid with Hannan-Rissanen least squares; psi-weight
-  intervals.
+  columns; one MAP fit per series (Laplace prior on the slope changes) runs in
+  ``applyInPandas`` after a shuffle by ``series_id``. A daily series holds one
+  row per day, so each group is bounded by its date span, never by raw data
+  volume.
+* I10 seasonal ARIMA: per series in ``applyInPandas``; differencing by tests,
+  orders by a stepwise search on AIC; psi-weight intervals.
 * I11 window model: supervised windows (E4) of *all* series feed fixed,
   seeded random ReLU features (``mapInPandas``); one global ridge head is
   solved from Gram matrices summed across partitions (their size is set by
@@ -32,17 +32,19 @@ from pyspark.sql import types as T
 from halyard.functions import calendar as cal
 from halyard.operators import forecast_eval as fe
 from halyard.operators import timeseries as ts
-from halyard.session import checkpoint_dir
+from halyard.operators.forecast_fits import arima, laplace_map, trend_spread
+from halyard.session import checkpoint_dir, ship_package
 
 KEY = "series_id"
 Z90 = fe.Z90
 
 # ----------------------------------------------------------- design matrix
-N_CHANGEPOINTS = 10
+N_CHANGEPOINTS = 25
 CHANGEPOINT_RANGE = 0.8
 SEASONALITIES = (("weekly", 7.0, 3), ("yearly", 365.25, 10), ("monthly", 30.5, 5))
 REGRESSORS = ("is_promo", "is_holiday", "is_weekend", "marketing_spend", "discount_pct")
-RIDGE = 1.0
+# Prior scales of the studied model (of y scaled to 1).
+CHANGEPOINT_SCALE, SEASONALITY_SCALE, HOLIDAY_SCALE, REGRESSOR_SCALE, SLOPE_SCALE = 0.05, 10.0, 10.0, 10.0, 5.0
 
 FORECAST_SCHEMA = T.StructType([
     T.StructField(KEY, T.StringType()), T.StructField("ds", T.DateType()),
@@ -55,25 +57,43 @@ def _holiday_names():
     return [n for n, _, _ in cal.HOLIDAY_EVENTS]
 
 
-def model_frame(dd: DataFrame, horizon: int) -> DataFrame:
+FLAGS, NUMERICS = ("is_promo", "is_holiday", "is_weekend"), ("marketing_spend", "discount_pct")
+
+
+def supplied_regressors(future: DataFrame | None, dd: DataFrame) -> DataFrame:
+    """The caller's regressors of future days as (series, ds, REGRESSORS);
+    columns that aren't there are null. No series column: they hold for all."""
+    if future is None:
+        return dd.limit(0).select(KEY, "ds", *[F.lit(None).cast("double").alias(r) for r in REGRESSORS])
+    have = [F.col(r).cast("double").alias(r) if r in future.columns else F.lit(None).cast("double").alias(r) for r in REGRESSORS]
+    if KEY in future.columns:
+        return future.select(KEY, "ds", *have)
+    return future.select("ds", *have).crossJoin(dd.select(KEY).distinct())  # a row per series and future day
+
+
+def model_frame(dd: DataFrame, horizon: int, future: DataFrame | None = None) -> DataFrame:
     """History (regularised daily y) plus ``horizon`` future days per series,
     with regressors: observed where known, calendar flags recomputed for
-    every day, numerics filled by the C1 rule."""
+    every day, numerics filled by the C1 rule. ``future`` supplies
+    regressors of future days, which come before both rules."""
     reg = ts.regularize_daily(dd)
     hist = reg.join(dd.select(KEY, "ds", "marketing_spend", "discount_pct"), [KEY, "ds"], "left")
     fut = ts.future_dates(reg, horizon).select(KEY, "ds", F.lit(None).cast("double").alias("y"))
-    fut = ts.with_regressors(fut, dd.limit(0).select(KEY, "ds", *REGRESSORS), dd, [], ["marketing_spend", "discount_pct"])
-    hist = hist.select(KEY, "ds", "y", "marketing_spend", "discount_pct", F.lit(False).alias("is_future"))
-    fut = fut.select(KEY, "ds", "y", "marketing_spend", "discount_pct", F.lit(True).alias("is_future"))
+    supplied = supplied_regressors(future, dd)
+    given = {f: f"_given_{f}" for f in FLAGS}
+    fut = ts.with_regressors(fut, supplied.select(KEY, "ds", *NUMERICS), dd, [], list(NUMERICS))
+    fut = fut.join(supplied.select(KEY, "ds", *[F.col(f).alias(n) for f, n in given.items()]), [KEY, "ds"], "left")
+    hist = hist.select(KEY, "ds", "y", *NUMERICS, *[F.lit(None).cast("double").alias(n) for n in given.values()], F.lit(False).alias("is_future"))
+    fut = fut.select(KEY, "ds", "y", *NUMERICS, *given.values(), F.lit(True).alias("is_future"))
     x = hist.unionByName(fut)
     means = dd.groupBy(KEY).agg(F.avg("marketing_spend").alias("_ms"), F.avg("discount_pct").alias("_dp"))
     x = x.join(means, KEY, "left").withColumns({
         "marketing_spend": F.coalesce("marketing_spend", "_ms"),
         "discount_pct": F.coalesce("discount_pct", "_dp"),
-        "is_promo": cal.is_promo("ds").cast("double"),
-        "is_holiday": cal.is_holiday("ds").cast("double"),
-        "is_weekend": cal.is_weekend("ds").cast("double"),
-    }).drop("_ms", "_dp")
+        "is_promo": F.coalesce(given["is_promo"], cal.is_promo("ds").cast("double")),
+        "is_holiday": F.coalesce(given["is_holiday"], cal.is_holiday("ds").cast("double")),
+        "is_weekend": F.coalesce(given["is_weekend"], cal.is_weekend("ds").cast("double")),
+    }).drop("_ms", "_dp", *given.values())
     return x
 
 
@@ -122,17 +142,21 @@ def additive_design(frame: DataFrame) -> tuple[DataFrame, dict]:
     return x.select(*keep), blocks
 
 
-def _ridge(X: np.ndarray, y: np.ndarray, lam: float) -> np.ndarray:
-    Xa = np.column_stack([np.ones(len(X)), X])
-    pen = lam * np.eye(Xa.shape[1])
-    pen[0, 0] = 0.0
-    return np.linalg.solve(Xa.T @ Xa + pen, Xa.T @ y)
+def short_seasons(days: int, blocks: dict) -> dict:
+    """The seasons (name to columns) that take part only in longer histories."""
+    return {n: blocks[n] for n, period, _ in SEASONALITIES if days < 2 * period}
 
 
-def additive_forecast(dd: DataFrame, horizon: int = 30, components: bool = False) -> DataFrame:
-    """I8 (and I9 with ``components=True``): per-series ridge fit of the
-    additive design; 90 % interval = yhat +- 1.645 residual std."""
-    design, blocks = additive_design(model_frame(dd, horizon))
+def additive_forecast(dd: DataFrame, horizon: int = 30, components: bool = False, future: DataFrame | None = None,
+                      changepoint_scale: float = CHANGEPOINT_SCALE, seasonality_scale: float = SEASONALITY_SCALE,
+                      holiday_scale: float = HOLIDAY_SCALE, regressor_scale: float = REGRESSOR_SCALE) -> DataFrame:
+    """I8 (and I9 with ``components=True``): per-series MAP fit of the
+    additive design. The slope may change at N_CHANGEPOINTS dates, with a
+    Laplace prior that leaves most changes at zero; the scales are those of
+    the priors. 90 % interval from the residuals and, ahead, from the trend's
+    own uncertainty. ``future`` supplies regressors of future days."""
+    design, blocks = additive_design(model_frame(dd, horizon, future))
+    ship_package(dd.sparkSession)
     # the design frame feeds its own statistics and the per-series fits: a
     # reliable checkpoint in the shared folder builds it once
     checkpoint_dir(dd.sparkSession)
@@ -140,6 +164,10 @@ def additive_forecast(dd: DataFrame, horizon: int = 30, components: bool = False
     feat_cols = [c for b in blocks.values() for c in b]
     names = list(blocks)
     comp_fields = [T.StructField(n, T.DoubleType()) for n in names]
+    scale_of = {"trend": SLOPE_SCALE, "regressors": regressor_scale, "holidays": holiday_scale}
+    scales = np.array([np.inf, *[scale_of.get(n, seasonality_scale) for n in names for _ in blocks[n]]])
+    sparse = np.array([False, *[c.startswith("cp") for c in feat_cols]])
+    scales[sparse] = changepoint_scale
     schema = T.StructType(list(FORECAST_SCHEMA.fields) + [T.StructField("is_future", T.BooleanType()),
                                                           T.StructField("intercept", T.DoubleType())] + comp_fields)
 
@@ -155,17 +183,23 @@ def additive_forecast(dd: DataFrame, horizon: int = 30, components: bool = False
         h = ~pdf["is_future"].to_numpy(dtype=bool)
         y = pdf["y"].to_numpy(dtype=float)
         scale = max(np.nanmax(np.abs(y[h])), 1.0) if h.any() else 1.0
-        beta = _ridge(X[h], y[h] / scale, RIDGE)
-        yhat = (beta[0] + X @ beta[1:]) * scale
+        whole = np.column_stack([np.ones(len(X)), X])
+        # a season that the history doesn't show twice can't be told from the trend
+        for n, cols in short_seasons(int(h.sum()), blocks).items():
+            whole[:, 1 + np.flatnonzero(np.isin(feat_cols, cols))] = 0.0
+        beta, _ = laplace_map(whole[h], y[h] / scale, sparse, scales)
+        yhat = whole @ beta * scale
         resid = y[h] - yhat[h]
         sigma = float(np.std(resid, ddof=1)) if h.sum() > 1 else 0.0
+        t = pdf["t"].to_numpy(dtype=float)
+        spread = np.hypot(sigma, trend_spread(beta[sparse], t - 1.0) * scale)
         out = pd.DataFrame({KEY: pdf[KEY].to_numpy(), "ds": pdf["ds"].to_numpy(), "yhat": yhat,
-                            "yhat_lower": yhat - Z90 * sigma, "yhat_upper": yhat + Z90 * sigma,
+                            "yhat_lower": yhat - Z90 * spread, "yhat_upper": yhat + Z90 * spread,
                             "model": "Prophet", "is_future": ~h, "intercept": beta[0] * scale})
         off = 1
         for n in names:
             k = len(blocks[n])
-            out[n] = X[:, off - 1:off - 1 + k] @ beta[off:off + k] * scale
+            out[n] = whole[:, off:off + k] @ beta[off:off + k] * scale
             off += k
         return out
 
@@ -176,75 +210,6 @@ def additive_forecast(dd: DataFrame, horizon: int = 30, components: bool = False
 
 
 # ------------------------------------------------------------------ ARIMA
-ARIMA_GRID = {"p": range(0, 4), "q": range(0, 4), "P": range(0, 3), "Q": range(0, 3)}
-SEASON = 7
-LONG_AR = 21
-
-
-def _lagmat(x: np.ndarray, lags: list[int]) -> np.ndarray:
-    n = len(x)
-    m = max(lags) if lags else 0
-    return np.column_stack([x[m - L:n - L] for L in lags]) if lags else np.empty((n - m, 0))
-
-
-def _fit_arma(z: np.ndarray, p: int, q: int, P: int, Q: int):
-    """Hannan-Rissanen: long AR residuals, then OLS on AR and MA lags."""
-    n = len(z)
-    L = min(LONG_AR, max(1, n // 4))
-    if n <= L + 10:
-        raise ValueError("series too short")
-    Xl = _lagmat(z, list(range(1, L + 1)))
-    coef, *_ = np.linalg.lstsq(np.column_stack([np.ones(len(Xl)), Xl]), z[L:], rcond=None)
-    e = np.concatenate([np.zeros(L), z[L:] - np.column_stack([np.ones(len(Xl)), Xl]) @ coef])
-    ar = list(range(1, p + 1)) + [SEASON * k for k in range(1, P + 1)]
-    ma = list(range(1, q + 1)) + [SEASON * k for k in range(1, Q + 1)]
-    m = max(ar + ma + [1])
-    start = max(m, L)
-    rows = np.arange(start, n)
-    cols = [np.ones(len(rows))] + [z[rows - a] for a in ar] + [e[rows - b] for b in ma]
-    X = np.column_stack(cols)
-    beta, *_ = np.linalg.lstsq(X, z[rows], rcond=None)
-    resid = z[rows] - X @ beta
-    s2 = float(np.mean(resid ** 2)) if len(resid) else float("nan")
-    k = X.shape[1] + 1
-    aic = len(rows) * math.log(max(s2, 1e-12)) + 2 * k
-    return {"c": beta[0], "ar": dict(zip(ar, beta[1:1 + len(ar)])), "ma": dict(zip(ma, beta[1 + len(ar):])),
-            "s2": s2, "aic": aic, "e": e, "order": (p, q, P, Q)}
-
-
-def _arima_forecast(y: np.ndarray, h: int, d: int = 1):
-    z = np.diff(y, n=d) if d else y.copy()
-    best = None
-    for p in ARIMA_GRID["p"]:
-        for q in ARIMA_GRID["q"]:
-            for P in ARIMA_GRID["P"]:
-                for Q in ARIMA_GRID["Q"]:
-                    try:
-                        fit = _fit_arma(z, p, q, P, Q)
-                    except (ValueError, np.linalg.LinAlgError):
-                        continue
-                    if best is None or fit["aic"] < best["aic"]:
-                        best = fit
-    if best is None:
-        best = _fit_arma(z, 1, 1, 0, 0)
-    zz, ee = list(z), list(best["e"])
-    for _ in range(h):
-        v = best["c"] + sum(c * zz[-a] for a, c in best["ar"].items()) + sum(c * ee[-b] for b, c in best["ma"].items())
-        zz.append(v)
-        ee.append(0.0)
-    zf = np.array(zz[len(z):])
-    yf = np.cumsum(zf) + y[-1] if d else zf
-    # psi weights of the ARMA, integrated once for the differencing
-    psi = np.zeros(h)
-    psi[0] = 1.0
-    for j in range(1, h):
-        psi[j] = best["ma"].get(j, 0.0) + sum(c * psi[j - a] for a, c in best["ar"].items() if j - a >= 0)
-    if d:
-        psi = np.cumsum(psi)
-    se = np.sqrt(best["s2"] * np.cumsum(psi ** 2))
-    return yf, se, best["order"]
-
-
 TAIL_DAYS, FALLBACK_ORDER = 7, "tail_mean"
 
 
@@ -258,8 +223,10 @@ def _tail_mean(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def arima_forecast(dd: DataFrame, horizon: int = 30) -> DataFrame:
-    """Seasonal ARIMA (m = 7) per series, 90 % intervals. A series that
+    """Seasonal ARIMA (m = 7) per series, differencing and orders chosen
+    by test and AIC, 90 % intervals. A series that
     the model can't fit gets the tail mean, named so in ``order``."""
+    ship_package(dd.sparkSession)
     reg = ts.regularize_daily(dd).select(KEY, "ds", "y")
     schema = T.StructType(list(FORECAST_SCHEMA.fields) + [T.StructField("order", T.StringType())])
 
@@ -267,7 +234,7 @@ def arima_forecast(dd: DataFrame, horizon: int = 30) -> DataFrame:
         pdf = pdf.sort_values("ds")
         y = pdf["y"].to_numpy(dtype=float)
         try:
-            yf, se, order = _arima_forecast(y, horizon)
+            yf, se, order = arima(y, horizon)
         except (np.linalg.LinAlgError, ValueError):  # too short or degenerate for the model
             yf, se, order = *_tail_mean(y, horizon), FALLBACK_ORDER
         last = pd.Timestamp(pdf["ds"].iloc[-1])
@@ -427,7 +394,12 @@ def holdout_evaluation(dd: DataFrame, holdout: int = 30, models=("Prophet", "ARI
     rows with null metrics; neither can be chosen."""
     import time
 
-    reg = ts.time_holdout(ts.regularize_daily(dd), holdout)
+    # a short series keeps a day to learn from: it holds out n - 1 days at most
+    reg = ts.regularize_daily(dd)
+    back = Window.partitionBy(KEY)
+    held = F.least(F.lit(holdout), F.count(F.lit(1)).over(back) - 1)
+    last = F.row_number().over(back.orderBy(F.desc("ds"))) <= held
+    reg = reg.withColumn("split", F.when(last, "test").otherwise("train"))
     # train on the regular series (so it ends the day before the hold-out
     # even when that day had no orders), with regressors where observed
     train = reg.filter(F.col("split") == "train").select(KEY, "ds", "y").join(
@@ -452,16 +424,60 @@ def holdout_evaluation(dd: DataFrame, holdout: int = 30, models=("Prophet", "ARI
     return fe.pick_best_model(metrics)
 
 
+def best_models(leaderboard: DataFrame, series: DataFrame) -> DataFrame:
+    """(series, model): the best of each series; the default model for one
+    that has no metrics, such as a series of one day."""
+    best = leaderboard.filter(F.col("is_best")).select(KEY, "model")
+    return series.select(KEY).distinct().join(best, KEY, "left").select(KEY, F.coalesce("model", F.lit(fe.DEFAULT_MODEL)).alias("model"))
+
+
+def with_fallback(forecasts: DataFrame, dd: DataFrame, wanted: DataFrame, horizon: int) -> DataFrame:
+    """``forecasts`` and, for every (series, model) of ``wanted`` that has
+    none, the mean of the series' last days."""
+    missing = wanted.join(forecasts.select(KEY, "model").distinct(), [KEY, "model"], "left_anti")
+    reg = ts.regularize_daily(dd).select(KEY, "ds", "y").join(missing.select(KEY).distinct(), KEY, "left_semi")
+    rn = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("ds")))
+    tail = reg.withColumn("_rn", rn).filter(F.col("_rn") <= TAIL_DAYS).groupBy(KEY).agg(
+        F.coalesce(F.avg("y"), F.lit(0.0)).alias("yhat"), F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("_s"), F.max("ds").alias("_end"))
+    days = tail.select(KEY, "yhat", "_s", F.explode(F.sequence(F.date_add("_end", 1), F.date_add("_end", horizon))).alias("ds"))
+    rows = days.join(missing, KEY).select(KEY, "ds", "yhat", (F.col("yhat") - Z90 * F.col("_s")).alias("yhat_lower"), (F.col("yhat") + Z90 * F.col("_s")).alias("yhat_upper"), "model")
+    return fe.union_forecasts(forecasts, fe.postprocess(rows))
+
+
+def forecast(dd: DataFrame, horizon: int = 30, mode: str = "best", holdout: int = 30, models=("Prophet", "ARIMA", "N-BEATS"),
+             future: DataFrame | None = None) -> DataFrame:
+    """``horizon`` days of every series, however short, by its own best
+    model (``best``), by one named model, or by each (``all``). A series that
+    a model can't fit has the mean of its last days, under that model's name.
+    ``future`` supplies regressors to the models that take them."""
+    checkpoint_dir(dd.sparkSession)
+    series = dd.select(KEY).distinct()
+    if mode == "best":
+        wanted = best_models(holdout_evaluation(dd, holdout, models), series).checkpoint(eager=True)
+    elif mode == "all" or mode in models:
+        names = F.explode(F.array(*[F.lit(m) for m in (models if mode == "all" else [mode])]))
+        wanted = series.select(KEY, names.alias("model"))
+    else:
+        raise ValueError(f"mode is best, all or one of {models}, not {mode!r}")
+    asked = models if mode in ("best", "all") else [mode]
+
+    def by(m: str) -> DataFrame:
+        # ARIMA fits each series alone: only those that chose it; the others learn from all series
+        own = dd.join(wanted.filter(F.col("model") == m), KEY, "left_semi") if m == "ARIMA" else dd
+        return additive_forecast(own, horizon, future=future) if m == "Prophet" else MODELS[m](own, horizon)
+
+    every = fe.union_forecasts(*[by(m) for m in asked])
+    return with_fallback(every.join(wanted, [KEY, "model"], "left_semi").select(FORECAST_SCHEMA.fieldNames()), dd, wanted, horizon)
+
+
 def forecast_best(dd: DataFrame, horizon: int = 30, holdout: int = 30,
                   models=("Prophet", "ARIMA", "N-BEATS")) -> DataFrame:
     """Forecast every series with its own best model."""
-    lb = holdout_evaluation(dd, holdout, models)
-    checkpoint_dir(dd.sparkSession)
-    best = lb.filter(F.col("is_best")).select(KEY, F.col("model").alias("_best")).checkpoint(eager=True)
+    return forecast(dd, horizon, "best", holdout, models)
 
-    def own(m: str) -> DataFrame:
-        # ARIMA fits each series alone: only those that chose it; the others learn from all series
-        return dd.join(best.filter(F.col("_best") == m), KEY, "left_semi") if m == "ARIMA" else dd
 
-    fc = fe.union_forecasts(*[MODELS[m](own(m), horizon) for m in models])
-    return fc.join(best, (fc[KEY] == best[KEY]) & (fc["model"] == best["_best"]), "left_semi")
+def metrics_documents(leaderboard: DataFrame) -> DataFrame:
+    """One document per series: its best model and every model's metrics,
+    fit time and error."""
+    own = F.struct("mae", "rmse", "mape", "n_test", "fit_time_s", "error")
+    return leaderboard.groupBy(KEY).agg(F.max(F.when(F.col("is_best"), F.col("model"))).alias("best_model"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", own)))).alias("models"))

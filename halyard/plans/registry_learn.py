@@ -109,6 +109,17 @@ def a06_json_artifacts(spark, d):
     return io.read_json_doc(spark, path)
 
 
+def a06b_forecast_metrics(spark, d):
+    """The metrics documents of the forecast models, one per series, stored
+    and read again."""
+    from halyard.operators import forecast_models as fm
+    from halyard.plans.materialize import daily_demand_fact
+
+    path = _scratch(spark, "forecast_metrics")
+    io.write_json_doc(fm.metrics_documents(fm.holdout_evaluation(daily_demand_fact(spark, d), 30)), path)
+    return io.read_json_doc(spark, path)
+
+
 # ------------------------------------------------------------- learning
 def _features(spark, d):
     """The split, weighted feature table, written once per session to the

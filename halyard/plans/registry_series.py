@@ -182,6 +182,12 @@ def i12_forecast_select(spark, d):
     return fm.forecast_best(_dd(spark, d), HORIZON, HOLDOUT)
 
 
+def i12c_forecast_all(spark, d):
+    from halyard.operators import forecast_models as fm
+
+    return fm.forecast(_dd(spark, d), HORIZON, "all")
+
+
 def i12b_model_leaderboard(spark, d):
     from halyard.operators import forecast_models as fm
 
