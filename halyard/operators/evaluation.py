@@ -2,13 +2,12 @@
 sampling and top-k (F1-F4) and the deterministic stratified split (E7).
 
 Scale design: nothing here sorts or windows raw rows globally.
-* Exact AUC aggregates to one row per distinct score, then takes prefix
-  sums over quantile buckets of those scores (bucket totals are a tiny
-  table; within-bucket running sums run in parallel).
+* Exact AUC aggregates to one row per distinct score, then takes running
+  sums over ranges of those scores (one row per range carries the offsets).
 * The threshold sweep is a histogram over the 16 thresholds (one partial
   aggregation) plus cumulative sums over <= 17 bins.
-* The stratified split ranks rows by md5 inside (class, md5-prefix)
-  buckets and offsets them by the counts of earlier buckets.
+* The stratified split places rows by (class, md5) over ranges and
+  subtracts where each class starts.
 """
 
 from __future__ import annotations
@@ -21,30 +20,7 @@ from pyspark.sql import Window as W
 
 from halyard.functions import risk as rf
 from halyard.functions.numeric import rnd
-
-
-# ------------------------------------------------------------ prefix sums
-def bucketed_prefix_sums(df: DataFrame, order_col: str, value_cols: list[str], n_buckets: int = 64) -> DataFrame:
-    """Exclusive prefix sums of ``value_cols`` in ascending ``order_col``
-    order (``order_col`` must be unique, e.g. after a group-by).
-
-    Rows are split into approximate-quantile buckets of ``order_col`` (the
-    n_buckets - 1 boundaries are one scalar subquery, no driver action),
-    bucket totals are prefix-summed on a tiny table and broadcast back, and
-    each bucket's running sums are computed in parallel.
-    """
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.agg(F.percentile_approx(F.col(order_col).cast("double"), qs, 10000)).scalar()
-    # the subquery is projected first: it may not sit inside a lambda
-    x = df.withColumn("_bounds", bounds)
-    x = x.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(order_col)))).drop("_bounds")
-    totals = x.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
-    wt = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wt), F.lit(0)).alias(f"_o_{c}") for c in value_cols])
-    wr = W.partitionBy("_b").orderBy(order_col).rowsBetween(W.unboundedPreceding, -1)
-    x = x.join(F.broadcast(offsets), "_b")
-    return x.select(*df.columns, *[
-        (F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wr), F.lit(0))).alias(f"before_{c}") for c in value_cols])
+from halyard.operators.ranking import with_position, with_running_sums
 
 
 # ------------------------------------------------------------ metrics
@@ -56,41 +32,45 @@ def _score_counts(scored: DataFrame, p: str, label: str) -> DataFrame:
         F.count_if(F.col(label) == 0).alias("neg0"))
 
 
-def _auc_from_counts(by_p: DataFrame) -> DataFrame:
-    pre = bucketed_prefix_sums(by_p.select("_p", "pos", F.col("neg0").alias("n0")), "_p", ["n0"])
-    return pre.agg(
-        (F.sum(F.col("pos") * (F.col("before_n0") + F.col("n0") * 0.5))
-         / F.nullif(F.sum("pos") * F.sum("n0"), F.lit(0))).alias("auc"))
+def _ranked_counts(scored: DataFrame, p: str, label: str) -> DataFrame:
+    """The counts of every score with the negatives below it (``below``),
+    summed over ranges of the score; any number of distinct scores."""
+    by_p = with_running_sums(_score_counts(scored, p, label), [F.asc("_p")], {"_upto": "neg0"})
+    return by_p.withColumn("below", F.col("_upto") - F.col("neg0"))
+
+
+def _auc() -> F.Column:
+    return F.sum(F.col("pos") * (F.col("below") + F.col("neg0") * 0.5)) / F.nullif(F.sum("pos") * F.sum("neg0"), F.lit(0))
 
 
 def exact_auc(scored: DataFrame, p: str = "churn_probability", label: str = "label") -> DataFrame:
     """Area under the ROC curve with ties counted half (Mann-Whitney)."""
-    return _auc_from_counts(_score_counts(scored, p, label))
+    return _ranked_counts(scored, p, label).agg(_auc().alias("auc"))
 
 
 def classification_metrics(scored: DataFrame, p: str = "churn_probability", label: str = "label",
                            threshold: float = 0.5) -> DataFrame:
-    """Accuracy, precision, recall, F1 at ``threshold`` and exact AUC,
-    all derived from the per-score counts (one pass over the rows)."""
-    by_p = _score_counts(scored, p, label)
+    """Accuracy, precision, recall, F1 at ``threshold`` and exact AUC:
+    one pass over the rows to counts per score, one over the ranked counts."""
     pred = F.col("_p") >= threshold
-    c = by_p.agg(
+    missed = ~pred | F.col("_p").isNull()
+    c = _ranked_counts(scored, p, label).agg(
         F.sum(F.when(pred, F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(pred, F.col("neg")).otherwise(0)).alias("fp"),
-        F.sum(F.when(~pred | F.col("_p").isNull(), F.col("pos")).otherwise(0)).alias("fn"),
-        F.sum(F.when(~pred | F.col("_p").isNull(), F.col("neg")).otherwise(0)).alias("tn"),
+        F.sum(F.when(missed, F.col("pos")).otherwise(0)).alias("fn"),
+        F.sum(F.when(missed, F.col("neg")).otherwise(0)).alias("tn"),
+        _auc().alias("_auc"),
     )
     prec = F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0))
     rec = F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))
-    m = c.select(
+    return c.select(
         "tp", "fp", "fn", "tn",
         rnd((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")), 6).alias("accuracy"),
         rnd(F.coalesce(prec, F.lit(0.0)), 6).alias("precision"),
         rnd(F.coalesce(rec, F.lit(0.0)), 6).alias("recall"),
         rnd(F.coalesce(2 * prec * rec / F.nullif(prec + rec, F.lit(0.0)), F.lit(0.0)), 6).alias("f1"),
+        rnd("_auc", 6).alias("auc"),
     )
-    auc = _auc_from_counts(by_p).select(rnd("auc", 6).alias("auc"))
-    return m.crossJoin(auc)  # 1 row x 1 row
 
 
 def threshold_sweep(scored: DataFrame, p: str = "churn_probability", label: str = "label",
@@ -163,20 +143,16 @@ def top_n(df: DataFrame, col: str, n: int, key: str) -> DataFrame:
 
 
 # ------------------------------------------------------ stratified split
-def stratified_split(df: DataFrame, key: str, label: str, train_frac: float = 0.8, prefix_chars: int = 3) -> DataFrame:
+def stratified_split(df: DataFrame, key: str, label: str, train_frac: float = 0.8) -> DataFrame:
     """Deterministic stratified split. Within each class, rows are
     ordered by (md5(key), key); the first floor(frac * n_class) are
-    'train'. Ranks come from md5-prefix buckets plus earlier-bucket counts,
-    so no class is ever sorted in a single task."""
+    'train'. Places come from ranges over all rows, so no class is ever
+    sorted in a single task."""
     frac = Fraction(train_frac).limit_denominator(1000)
     num, den = frac.numerator, frac.denominator
-    h = F.md5(F.col(key).cast("string"))
-    x = df.withColumns({"_h": h, "_bk": F.substring(h, 1, prefix_chars)})
-    counts = x.groupBy(label, "_bk").agg(F.count(F.lit(1)).alias("_c"))
-    wc = W.partitionBy(label).orderBy("_bk").rowsBetween(W.unboundedPreceding, -1)
-    offs = counts.select(label, "_bk", F.coalesce(F.sum("_c").over(wc), F.lit(0)).alias("_off"),
-                         F.sum("_c").over(W.partitionBy(label)).alias("_n"))
-    x = x.join(F.broadcast(offs), [label, "_bk"])
-    rank = F.col("_off") + F.row_number().over(W.partitionBy(label, "_bk").orderBy("_h", key))
+    placed = with_position(df.withColumn("_h", F.md5(F.col(key).cast("string"))), [F.asc(label), F.asc("_h"), F.asc(key)], "_at")
+    classes = placed.groupBy(label).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    own = classes.select(F.col(label).alias("_label"), "_first", "_n")
+    x = placed.join(F.broadcast(own), F.col(label).eqNullSafe(F.col("_label")))  # a row per class
     quota = F.floor(F.col("_n") * num / den)
-    return x.withColumn("split", F.when(rank <= quota, "train").otherwise("test")).drop("_h", "_bk", "_off", "_n")
+    return x.select(*df.columns, F.when(F.col("_at") - F.col("_first") < quota, "train").otherwise("test").alias("split"))

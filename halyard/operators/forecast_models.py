@@ -9,11 +9,7 @@
   volume.
 * I10 seasonal ARIMA: per series in ``applyInPandas``; differencing by tests,
   orders by a stepwise search on AIC; psi-weight intervals.
-* I11 window model: supervised windows (E4) of *all* series feed fixed,
-  seeded random ReLU features (``mapInPandas``); one global ridge head is
-  solved from Gram matrices summed across partitions (their size is set by
-  the feature count, not the data). A second block fits what the first
-  block's forecast left over, and the block forecasts are summed.
+* I11 window model: see ``residual_stack``.
 * I12 runs the hold-out, metrics and per-series selection natively.
 """
 
@@ -31,6 +27,7 @@ from pyspark.sql import types as T
 
 from halyard.functions import calendar as cal
 from halyard.operators import forecast_eval as fe
+from halyard.operators import residual_stack as rs
 from halyard.operators import timeseries as ts
 from halyard.operators.forecast_fits import arima, laplace_map, trend_spread
 from halyard.session import checkpoint_dir, ship_package
@@ -246,139 +243,20 @@ def arima_forecast(dd: DataFrame, horizon: int = 30) -> DataFrame:
 
 
 # ------------------------------------------------------------ window model
-LOOKBACK, N_FEATURES, WINDOW_SEED = 28, 64, 7
-
-
-def _random_projection(lookback: int, n_features: int, seed: int):
-    rng = np.random.default_rng(seed)
-    return rng.normal(0, 1 / math.sqrt(lookback), (lookback, n_features)), rng.normal(0, 0.1, n_features)
-
-
-def _relu_features(x: np.ndarray, seed: int, n_features: int) -> np.ndarray:
-    Wm, b = _random_projection(x.shape[1], n_features, seed)
-    return np.column_stack([np.ones(len(x)), np.maximum(x @ Wm + b, 0.0)])
-
-
-def _normalise(look: np.ndarray):
-    mu = look.mean(axis=1, keepdims=True)
-    sd = look.std(axis=1, keepdims=True)
-    sd[sd == 0] = 1.0
-    return mu, sd
-
-
-def _gram_sums(windows: DataFrame, lookback: int, horizon: int, seed: int, n_features: int,
-               target: str) -> DataFrame:
-    """Per-partition X'X and X'Y of one block, summed across partitions as
-    (i, j, value) cells: the result has (R+1)^2 + (R+1)*H rows whatever the
-    number of windows."""
-    out_dim = horizon
-
-    def gram(it):
-        G = np.zeros((n_features + 1, n_features + 1))
-        B = np.zeros((n_features + 1, out_dim))
-        for pdf in it:
-            if pdf.empty:
-                continue
-            look = np.stack(pdf["lookback"].to_numpy()).astype(float)
-            hor = np.stack(pdf["horizon"].to_numpy()).astype(float)
-            mu, sd = _normalise(look)
-            x = (look - mu) / sd
-            yh = (hor - mu) / sd
-            if target == "forecast":
-                X, Y = _relu_features(x, seed, n_features), yh
-            else:  # second block learns what block 1's forecast left over
-                r = np.stack(pdf["resid"].to_numpy()).astype(float)
-                X, Y = _relu_features(r[:, :lookback], seed + 1, n_features), r[:, lookback:]
-            G += X.T @ X
-            B += X.T @ Y
-        i, j = np.indices(G.shape)
-        gi, bj = np.indices(B.shape)
-        yield pd.DataFrame({"kind": ["G"] * G.size + ["B"] * B.size,
-                            "i": np.concatenate([i.ravel(), gi.ravel()]),
-                            "j": np.concatenate([j.ravel(), bj.ravel()]),
-                            "v": np.concatenate([G.ravel(), B.ravel()])})
-
-    cells = windows.mapInPandas(gram, "kind string, i long, j long, v double")
-    return cells.groupBy("kind", "i", "j").agg(F.sum("v").alias("v"))
-
-
-def _solve_head(cells: DataFrame, lam: float = 1.0) -> DataFrame:
-    """Ridge head from the summed cells, solved inside one small task (the
-    input is bounded by the feature count)."""
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf[pdf["kind"] == "G"]
-        b = pdf[pdf["kind"] == "B"]
-        n = int(g["i"].max()) + 1
-        m = int(b["j"].max()) + 1
-        G = np.zeros((n, n))
-        G[g["i"].to_numpy(), g["j"].to_numpy()] = g["v"].to_numpy()
-        Bm = np.zeros((n, m))
-        Bm[b["i"].to_numpy(), b["j"].to_numpy()] = b["v"].to_numpy()
-        Wt = np.linalg.solve(G + lam * np.eye(n), Bm)
-        return pd.DataFrame({"weights": [Wt.ravel().tolist()], "n_in": [n], "n_out": [m]})
-
-    return cells.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(
-        solve, "weights array<double>, n_in long, n_out long")
-
-
-def window_forecast(dd: DataFrame, horizon: int = 30, lookback: int = LOOKBACK, n_features: int = N_FEATURES,
-                    seed: int = WINDOW_SEED) -> DataFrame:
-    """Direct multi-horizon forecast from the last ``lookback`` days,
-    two stacked random-feature blocks with trained linear heads (the second
-    fits the first one's forecast residual; forecasts are summed);
-    interval = yhat +- 1.645 * 0.5 * std(last 60 days)."""
+def window_forecast(dd: DataFrame, horizon: int = 30, lookback: int | None = None, blocks: int = rs.BLOCKS,
+                    n_features: int = rs.FEATURES, seed: int = rs.SEED) -> DataFrame:
+    """Direct multi-horizon forecast of a doubly residual stack trained
+    on the windows of all series; a series shorter than the look-back (5 x
+    horizon) gets the mean of its last days. Interval = yhat +- 1.645 * 0.5 *
+    std(last 60 days)."""
     reg = ts.regularize_daily(dd).select(KEY, "ds", "y")
-    # both heads read the windows: a reliable checkpoint (shared folder) cuts
-    # their lineage so the windows are built once
-    checkpoint_dir(dd.sparkSession)
-    win = ts.supervised_windows(reg, lookback, horizon).checkpoint(eager=True)
-    head1 = _solve_head(_gram_sums(win, lookback, horizon, seed, n_features, "forecast"))
-
-    def apply_head(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            look = np.stack(pdf["lookback"].to_numpy()).astype(float)
-            mu, sd = _normalise(look)
-            x = (look - mu) / sd
-            W1 = np.asarray(pdf["w1"].iloc[0]).reshape(n_features + 1, -1)
-            f1 = _relu_features(x, seed, n_features) @ W1
-            out = pdf[[KEY, "ds"]].copy()
-            if "horizon" in pdf:
-                hor = np.stack(pdf["horizon"].to_numpy()).astype(float)
-                res = np.column_stack([x, (hor - mu) / sd - f1])
-                out["resid"] = list(res)
-                out["lookback"] = list(look)
-                out["horizon"] = list(hor)
-            else:
-                if "w2" in pdf:
-                    W2 = np.asarray(pdf["w2"].iloc[0]).reshape(n_features + 1, -1)
-                    f1 = f1 + _relu_features(x, seed + 1, n_features) @ W2
-                out["yhat"] = list(f1 * sd + mu)
-            yield out
-
-    w1 = head1.select(F.col("weights").alias("w1"))
-    stage2 = win.crossJoin(F.broadcast(w1)).mapInPandas(
-        apply_head, f"{KEY} string, ds date, resid array<double>, lookback array<double>, horizon array<double>")
-    head2 = _solve_head(_gram_sums(stage2, lookback, horizon, seed, n_features, "residual"))
-    w2 = head2.select(F.col("weights").alias("w2"))
-
-    # the last complete lookback window of every series
-    rn = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("ds")))
-    last = reg.select(KEY, "ds", "y", rn.alias("_rn")).filter(F.col("_rn") <= lookback)
-    last = last.groupBy(KEY).agg(F.max("ds").alias("ds"),
-                                 F.array_sort(F.collect_list(F.struct("ds", "y"))).alias("_p"))
-    last = last.select(KEY, "ds", F.transform("_p", lambda p: p["y"]).alias("lookback"))
-    short = last.filter(F.size("lookback") < lookback)
-    last = last.filter(F.size("lookback") == lookback)
-    pred = last.crossJoin(F.broadcast(w1)).crossJoin(F.broadcast(w2)).mapInPandas(
-        apply_head, f"{KEY} string, ds date, yhat array<double>")
-    # a series without a whole window: the mean of its last days
-    tail = F.slice("lookback", F.greatest(F.lit(1), F.size("lookback") - TAIL_DAYS + 1), TAIL_DAYS)
-    mean = F.aggregate(tail, F.lit(0.0), lambda a, y: a + F.coalesce(y, F.lit(0.0)), lambda a: a / F.size(tail))
-    pred = pred.unionByName(short.select(KEY, "ds", F.array_repeat(mean, horizon).alias("yhat")))
-    pts = pred.select(KEY, F.posexplode("yhat").alias("i", "yhat"), F.col("ds").alias("_last")).select(
-        KEY, F.date_add("_last", F.col("i") + 1).alias("ds"), "yhat")
+    series, stack = rs.train(reg, horizon, lookback, blocks, n_features, seed)
+    pts = rs.predict(series, stack)
+    short = series if not stack.heads else series.filter(F.size("y") < stack.lookback)
+    tail = F.slice("y", F.greatest(F.lit(1), F.size("y") - TAIL_DAYS + 1), TAIL_DAYS)
+    mean = F.aggregate(tail, F.lit(0.0), lambda a, y: a + y, lambda a: a / F.size(tail))
+    days = F.explode(F.sequence(F.date_add("ds", 1), F.date_add("ds", horizon)))
+    pts = pts.unionByName(short.select(KEY, mean.alias("yhat"), days.alias("ds")))
     return fe.residual_interval(pts, fe.tail_sigma(reg), "N-BEATS")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from halyard.functions import calendar as cal
+from halyard.operators.quantiles import exact_quantiles
 
 KEY = "series_id"
 
@@ -80,23 +81,17 @@ def tail_stats(df: DataFrame, k_mean: int = 30, k_std: int = 60, value: str = "y
 def supervised_windows(reg: DataFrame, lookback: int, horizon: int, value: str = "y") -> DataFrame:
     """Every complete (lookback, horizon) pair of a regular daily series.
 
-    Each observation is copied to the ``lookback + horizon`` anchors whose
-    window covers it, then grouped by anchor: groups are bounded by the
-    window length, so no series is ever gathered in one task.
+    One shuffle of the rows by series; each row's window is a frame of
+    ``lookback + horizon`` rows. A series holds one row per day, so its
+    partition is bounded by its dates.
     """
-    # anchor = last lookback day; a row sits at pos = ds - anchor in [-(L-1), H]
-    offs = F.sequence(F.lit(-(lookback - 1)), F.lit(horizon))
-    x = reg.select(KEY, "ds", value, F.explode(offs).alias("_o"))
-    x = x.withColumn("anchor", F.date_sub("ds", F.col("_o")))
-    x = x.withColumn("pos", F.datediff("ds", "anchor"))
-    g = x.groupBy(KEY, "anchor").agg(F.collect_list(F.struct("pos", F.col(value).alias("v"))).alias("_pts"))
-    g = g.filter(F.size("_pts") == lookback + horizon)
-    pts = F.array_sort("_pts")
-    return g.select(
-        KEY, F.col("anchor").alias("ds"),
-        F.transform(F.filter(pts, lambda p: p["pos"] <= 0), lambda p: p["v"]).alias("lookback"),
-        F.transform(F.filter(pts, lambda p: p["pos"] > 0), lambda p: p["v"]).alias("horizon"),
-    )
+    held = F.struct(F.col(value).alias("v"))  # a struct is kept where its value is null
+    def frame(a: int, b: int):
+        return F.collect_list(held).over(W.partitionBy(KEY).orderBy("ds").rowsBetween(a, b))
+
+    x = reg.select(KEY, "ds", frame(1 - lookback, 0).alias("_l"), frame(1, horizon).alias("_h"))
+    x = x.filter((F.size("_l") == lookback) & (F.size("_h") == horizon))
+    return x.select(KEY, "ds", F.transform("_l", lambda p: p["v"]).alias("lookback"), F.transform("_h", lambda p: p["v"]).alias("horizon"))
 
 
 def future_dates(df: DataFrame, h: int) -> DataFrame:
@@ -181,18 +176,15 @@ def with_regressors(future: DataFrame, supplied: DataFrame, history: DataFrame,
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count / mean / std / min / quartiles / max per column, long form.
 
-    Quartiles are exact (linear interpolation). Meant for daily aggregates,
-    whose size is bounded by the date span; use ``percentile_approx`` for
-    raw-row columns at scale.
+    Quartiles are exact (linear interpolation), found by narrowing intervals.
     """
+    found = exact_quantiles(df, [F.col(c) for c in cols], [0.25, 0.5, 0.75])
     aggs = []
-    for c in cols:
+    for c, q in zip(cols, found):
         x = F.col(c).cast("double")
-        q = F.percentile(x, [0.25, 0.5, 0.75])
         aggs.append(F.struct(
-            F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"),
-            F.max(x).alias("max")).alias(c))
+            F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+            *[F.lit(v).cast("double").alias(n) for v, n in zip(q, ("q25", "q50", "q75"))], F.max(x).alias("max")).alias(c))
     wide = df.agg(*aggs)
     stack = ", ".join(f"'{c}', `{c}`" for c in cols)
     return wide.selectExpr(f"stack({len(cols)}, {stack}) as (column, s)").select("column", "s.*")

@@ -165,7 +165,7 @@ def fitted_probes(rows: DataFrame, coarse: np.ndarray, trials: np.ndarray) -> in
     """The least number of probes with which SURE of the rows `trials` meet
     TARGET of their TRIAL_K true neighbours. One pass; a task keeps the best
     of each."""
-    order = np.argsort(-(trials @ coarse.T), axis=1, kind="stable")
+    order = np.argsort(-np.einsum("qw,cw->qc", trials, coarse), axis=1, kind="stable")
     place = np.argsort(order, axis=1)  # place[q, cell]: when q probes the cell
 
     def run(batches):

@@ -15,6 +15,7 @@ from halyard.functions import customer as cf
 from halyard.functions import risk as rf
 from halyard.operators import customers as cu
 from halyard.operators import evaluation as ev
+from halyard.operators.ranking import with_running_sums
 from halyard.operators import forecast_eval as fe
 from halyard.operators import search as se
 from halyard.operators import sentiment as sm
@@ -193,9 +194,8 @@ def test_exact_auc_matches_pairwise(spark):
 def test_prefix_sums_match_pandas(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"k": rng.permutation(500).astype(float), "v": rng.integers(0, 9, 500)})
-    got = ev.bucketed_prefix_sums(spark.createDataFrame(pdf), "k", ["v"], n_buckets=8).toPandas().sort_values("k")
-    want = pdf.sort_values("k")["v"].cumsum().shift(fill_value=0).to_numpy()
-    assert (got["before_v"].to_numpy() == want).all()
+    got = with_running_sums(spark.createDataFrame(pdf), [F.asc("k")], {"upto": "v"}, 8).toPandas().sort_values("k")
+    assert (got["upto"].to_numpy() == pdf.sort_values("k")["v"].cumsum().to_numpy()).all()
 
 
 def test_threshold_sweep_ties_pick_lowest(spark):
@@ -207,7 +207,7 @@ def test_threshold_sweep_ties_pick_lowest(spark):
 
 def test_stratified_split_ratio(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 3 == 0).cast("int").alias("y"))
-    out = ev.stratified_split(df, "k", "y", 0.8, prefix_chars=1)
+    out = ev.stratified_split(df, "k", "y", 0.8)
     got = {(r.y, r.split): r["count"] for r in out.groupBy("y", "split").count().collect()}
     assert got[(1, "train")] == math.floor(334 * 0.8) and got[(0, "train")] == math.floor(666 * 0.8)
 
