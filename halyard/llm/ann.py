@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import python_ready, stored, with_row_id
+from halyard.llm.common import numbered, python_ready, stored
 
 DIMS, CONFIDENCE, SEED = 8, 0.97, 3
 CELL_ROWS, LEAF_ROWS, SAMPLE_ROWS, QUERY_BLOCK = 16_384, 128, 20_000, 20_000
@@ -178,7 +178,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     keep = k + 1  # the query's own vector is found too
     slot = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
     groups = rows.withColumn("slot", slot).filter(F.col("slot") <= keep).groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    table = with_row_id(stored(groups), "gid")
+    table = numbered(groups, "gid")
     asked = stored(rows.filter(is_query).join(table.select("vec", "gid"), "vec").select(F.col("id").alias("query_id"), F.col("gid").alias("query")))
     total = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("m"), F.max(F.size("vec")).alias("d")).first()
     if not total["n"]:

@@ -44,11 +44,19 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Adds a row number that is the same in every evaluation of a file scan
-    (partition and position). It separates rows that repeat a document id."""
+    """Adds a row number. It holds within one job only: files are split by the
+    cores at hand, so a job after a lost or added executor numbers anew. Write
+    the rows with it, or use `numbered`."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """`df` with a row number, written once: every later job reads the same
+    numbers from the files, whatever executors it has. They separate rows that
+    repeat a document id."""
+    return stored(with_row_id(df, name))
+
+
 def lowest_hashes(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:
     """The k rows of each group with the lowest hash of `key`. They are taken
     within `SPREAD` parts of a group first, so that no task ranks more of a

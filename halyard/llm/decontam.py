@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import python_ready, stored, with_row_id
+from halyard.llm.common import numbered, python_ready, stored
 
 SIMILARITY = 0.8
 RECALL = 0.99
@@ -314,8 +314,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` without the rows that hold an item. Every column stays as it is.
-    `docs` has to be a scan of files (see `with_row_id`)."""
-    numbered = with_row_id(docs, "__row")
-    bad = stored(contamination(numbered, items, ["__row"], text).select("__row").distinct())
-    return numbered.join(bad, "__row", "left_anti").select(*docs.columns)
+    """`docs` without the rows that hold an item. Every column stays as it is."""
+    rows = numbered(docs, "__row")
+    bad = stored(contamination(rows, items, ["__row"], text).select("__row").distinct())
+    return rows.join(bad, "__row", "left_anti").select(*docs.columns)

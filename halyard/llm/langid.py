@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import fraction, lowest_hashes, python_ready, stored, with_row_id
+from halyard.llm.common import fraction, lowest_hashes, numbered, python_ready, stored
 
 WINDOW = 64
 HIDDEN = 8
@@ -210,12 +210,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
 def keep_identified(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` without the rows in no learned language: no letter, or a pooled
     probability below `MIN_SCORE`. The network learns from the rows of `docs`
-    that carry a language. Every column stays as it is. `docs` has to be a
-    scan of files (see `with_row_id`)."""
-    numbered = with_row_id(docs, "__row")
-    found = identify(numbered, fit(docs, text=text), ["__row"], text)
+    that carry a language. Every column stays as it is."""
+    rows = numbered(docs, "__row")
+    found = identify(rows, fit(docs, text=text), ["__row"], text)
     rejected = stored(found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < MIN_SCORE)).select("__row"))
-    return numbered.join(rejected, "__row", "left_anti").select(*docs.columns)
+    return rows.join(rejected, "__row", "left_anti").select(*docs.columns)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import python_ready, stored, with_row_id
+from halyard.llm.common import numbered, python_ready, stored, with_row_id
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -167,10 +167,8 @@ def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     start; offsets in code points, ends exclusive.
 
     A null text is an empty one; both have no spans. Repeated rows come back
-    each. Texts are read whole. `docs` has to be a scan of files (see
-    `with_row_id`)."""
-    numbered = with_row_id(docs, "__row")
-    seen = stored(_scan(numbered, ["__row", *keep], text))
+    each. Texts are read whole."""
+    seen = stored(_scan(with_row_id(docs, "__row"), ["__row", *keep], text))
     near = seen.select(F.col("__row").alias("row"), F.explode("__near").alias("x")).select("row", "x.*")
     words = revealing_words(near, docs, text)
     terms = near.join(words, ["entity", "word"]).groupBy("row", "start", "end").agg((F.max("share") >= REMOVE).alias("removed"))
@@ -204,9 +202,9 @@ def cleaned(text: str, base: list[dict], terms: list[dict]) -> str:
 
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with `text` sanitised; null texts stay null."""
-    numbered = with_row_id(docs, "__at")
-    found = find_pii(numbered, ["__at"], text).withColumnsRenamed({"__at": "__of", "base": "__base", "terms": "__terms"}).filter(F.size("__base") > 0)
-    joined = numbered.join(found, F.col("__at") == F.col("__of"), "left")
+    rows = numbered(docs, "__at")
+    found = find_pii(rows, ["__at"], text).withColumnsRenamed({"__at": "__of", "base": "__base", "terms": "__terms"}).filter(F.size("__base") > 0)
+    joined = rows.join(found, F.col("__at") == F.col("__of"), "left")
 
     @F.arrow_udf("string")
     def clean(t, b, x):

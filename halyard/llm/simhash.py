@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import cut, python_ready, stored, with_row_id
+from halyard.llm.common import cut, numbered, python_ready, stored
 from halyard.llm.components import connected_components
 
 BITS = 64
@@ -307,11 +307,11 @@ def near_duplicates(docs: DataFrame, keep: list[str], order: str = "doc_id", tex
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, max_distance: int = 2) -> DataFrame:
     """`docs` with one row of each near-duplicate group: the one with the
     smallest id (nulls last, the earliest row among equals). Every column
-    stays as it is. `docs` has to be a scan of files (see `with_row_id`)."""
-    numbered = with_row_id(docs, "__row")
+    stays as it is."""
+    rows = numbered(docs, "__row")
     # the component is named by row here, so that null and repeated ids stay apart
-    slim = numbered.select("__row", F.col(id_col).alias("__id"), F.col(text).alias("__text"))
+    slim = rows.select("__row", F.col(id_col).alias("__id"), F.col(text).alias("__text"))
     ranked = slim.withColumn("__rank", F.struct(F.col("__id").isNull().alias("late"), F.col("__id").alias("id"), F.col("__row").alias("row")))
     found = near_duplicates(ranked, ["__row", "__rank"], "__rank", "__text", width, max_distance)
     losers = stored(found.filter(F.col("component_id.row") != F.col("__row")).select("__row"))
-    return numbered.join(losers, "__row", "left_anti").select(*docs.columns)
+    return rows.join(losers, "__row", "left_anti").select(*docs.columns)
