@@ -155,17 +155,40 @@ def detect_trend(timeline: DataFrame, window: int = TREND_WINDOW, by: list[str]
     )
 
 
-def nlp_stats(df: DataFrame, timeline: DataFrame) -> DataFrame:
-    """One stats document: total, label / category / channel
-    distributions as maps, mean score (4 dp) and the trend verdict."""
-    def dist(col):
-        g = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-        return g.agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce(F.col(col), F.lit("")), "n"))).alias(f"{col}_counts"))
-
-    head = df.agg(F.count(F.lit(1)).alias("total"), rnd(F.avg("sentiment_score"), 4).alias("avg_score"))
-    trend = detect_trend(timeline).select(F.col("direction").alias("trend_direction"),
-                                          F.col("magnitude").alias("trend_magnitude"))
+def nlp_stats(df: DataFrame, timeline: DataFrame, index: DataFrame) -> DataFrame:
+    """One stats document: total, shares of the labels in percent,
+    category and channel counts as maps, mean score (4 dp), index statistics
+    (J9) and the trend, null for a timeline of one period. Nulls of a column
+    count in none of its entries. Maps hold a column's few values."""
+    def dist(col, name, share=False):
+        g = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        g = g.agg(F.sum("n").alias("total"), F.collect_list(F.struct("k", "n")).alias("x"))
+        one = lambda e: F.struct(e["k"], rnd(e["n"] * 100.0 / F.col("total"), 1) if share else e["n"])
+        return g.select(F.map_from_entries(F.transform("x", one)).alias(name))
+
+    head = df.agg(F.count(F.lit(1)).alias("total_feedback"), F.coalesce(rnd(F.avg("sentiment_score"), 4), F.lit(0.0)).alias("avg_sentiment_score"))
+    indexed = index.select(F.struct("backend", "n_documents").alias("index_stats"))
+    trend = detect_trend(timeline).select(F.when(F.col("n_periods") > 1, F.struct("direction", "magnitude", "recent_avg", "older_avg")).alias("trend"))
     out = head
-    for part in (dist("sentiment_label"), dist("category"), dist("channel"), trend):
+    for part in (dist("sentiment_label", "sentiment_distribution", True), dist("category", "category_distribution"),
+                 dist("channel", "channel_distribution"), indexed, trend):
         out = out.crossJoin(part)  # every part is exactly one row
     return out
+
+
+def stats_entries(doc: DataFrame) -> DataFrame:
+    """The stats document as rows (section, key, value, text)."""
+    number = lambda c: F.col(c).cast("double")
+    entry = lambda s, k, v, t=None: F.struct(F.lit(s).alias("section"), k.alias("key"), v.alias("value"), (F.lit(None).cast("string") if t is None else t).alias("text"))
+
+    def entries(c):
+        return F.transform(F.map_entries(c), lambda e: entry(c, e["key"], e["value"].cast("double")))
+
+    maps = [entries(c) for c in ("sentiment_distribution", "category_distribution", "channel_distribution")]
+    single = F.array(
+        entry("total_feedback", F.lit("total"), number("total_feedback")),
+        entry("avg_sentiment_score", F.lit("mean"), number("avg_sentiment_score")),
+        entry("index_stats", F.lit("n_documents"), number("index_stats.n_documents"), F.col("index_stats.backend")),
+        *[entry("trend", F.lit(k), number(f"trend.{k}"), F.col("trend.direction")) for k in ("magnitude", "recent_avg", "older_avg")],
+    )
+    return doc.select(F.explode(F.concat(single, *maps)).alias("e")).select("e.*")

@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from halyard.functions import risk as rf
+from halyard.functions.numeric import rnd
 from halyard.operators import boosting as bo
 from halyard.operators import customers as cu
 from halyard.operators import evaluation as ev
 from halyard.operators import learn as ln
+from halyard.operators import search as se
 from halyard.operators import sentiment as st
 from halyard.plans import adapters as ad
 from halyard.plans.materialize import customer_dimension, materialized
@@ -99,14 +101,19 @@ def a05_parquet_artifacts(spark, d):
     fb = ad.feedback(spark, d)
     path = _scratch(spark, "timeline")
     io.write_parquet(st.sentiment_timeline(fb, "W"), path)
-    return io.read_parquet(spark, path)
+    return _timeline6(io.read_parquet(spark, path))
+
+
+def _timeline6(timeline):
+    return timeline.select(*[rnd(f.name, 6).alias(f.name) if f.dataType.simpleString() == "double" else f.name for f in timeline.schema.fields])
 
 
 def a06_json_artifacts(spark, d):
     fb = ad.feedback(spark, d)
     path = _scratch(spark, "nlp_stats")
-    io.write_json_doc(st.nlp_stats(fb, st.sentiment_timeline(fb, "W")), path)
-    return io.read_json_doc(spark, path)
+    doc = st.nlp_stats(fb, st.sentiment_timeline(fb, "W"), se.index_stats(fb))
+    io.write_json_doc(doc, path)
+    return st.stats_entries(io.read_json_doc(spark, path, doc.schema))
 
 
 def a06b_forecast_metrics(spark, d):
@@ -281,7 +288,24 @@ def k02_stream_sentiment_timeline(spark, d):
     ev.repartition(4).write.mode("overwrite").parquet(src)
     q = jobs.stream_sentiment_timeline(spark, src, ev.schema, sink, ck, period="1 day", watermark="2 days")
     q.awaitTermination()
-    return jobs.read_timeline(spark, sink)
+    return _timeline6(jobs.read_timeline(spark, sink))
+
+
+def k01b_stream_current(spark, d):
+    """Raw records of every customer, each in two versions that arrive newest
+    first and then once more: one current prediction a customer."""
+    from halyard.streaming import current_scores as cs
+
+    stored_model = _stored_model(spark, d)
+    raw = ad.customer_base_raw(spark, d, customer_dimension(spark, d))
+    day = F.pmod(F.xxhash64(cs.KEY), F.lit(20)).cast("int")
+    now = raw.withColumn(cs.TIME, F.timestamp_add("DAY", day, F.lit("2024-02-01").cast("timestamp")))
+    before = now.withColumns({cs.TIME: F.timestamp_add("DAY", F.lit(-30), cs.TIME), "MonthlyCharges": F.lit("1.0"), "Contract": F.lit("Two year")})
+    src, sink, ck = _scratch(spark, "k1b_src"), _scratch(spark, "k1b_sink"), _scratch(spark, "k1b_ckpt")
+    for part in (now, before, now):
+        part.select(*cs.RECORD.names).write.mode("append").parquet(src)
+    cs.stream_current_scores(spark, lambda: stored_model, src, sink, ck, delay="60 days").awaitTermination()
+    return cs.read_current_scores(spark, sink)
 
 
 QUERIES = {name: fn for name, fn in list(globals().items())

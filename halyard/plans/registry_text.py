@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from halyard.functions import text as tx
 from halyard.functions.numeric import rnd
 from halyard.operators import impact_search as im
+from halyard.operators import label_codes as lc
 from halyard.operators import search as se
 from halyard.operators import sentiment as st
 from halyard.operators import vector_index as vi
@@ -72,7 +73,7 @@ def _fb_timeline(spark, d):
 
 def d23_nlp_stats(spark, d):
     fb = _fb(spark, d)
-    return st.nlp_stats(fb, st.sentiment_timeline(fb, "W"))
+    return st.stats_entries(st.nlp_stats(fb, st.sentiment_timeline(fb, "W"), se.index_stats(fb)))
 
 
 def d24_recent_negative_pct(spark, d):
@@ -127,7 +128,16 @@ def h02_to_metadata_map(spark, d):
     fb = _fb(spark, d)
     meta = ["category", "channel", "sentiment_label", "created_at", "sentiment_score"]
     entries = [F.struct(F.lit(c).alias("k"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("v")) for c in meta]
-    return fb.select("feedback_id", F.map_from_entries(F.array(*entries)).alias("metadata"))
+    held = fb.select("feedback_id", F.map_from_entries(F.array(*entries)).alias("metadata"))
+    return held.select("feedback_id", F.explode("metadata").alias("key", "value"))
+
+
+def b07b_label_codes(spark, d):
+    """Text columns that no rule names, by their stored dictionary."""
+    fb = _fb(spark, d)
+    columns = lc.text_columns(fb, ("feedback_text",))
+    codes = materialized(spark, "feedback_codes", d, lambda: lc.fit_codes(fb, columns))
+    return lc.encode_labels(fb, codes, columns).select("feedback_id", *[f"{c}_code" for c in columns])
 
 
 def _lex(spark, d, pos, neg):

@@ -70,6 +70,8 @@ def stream_sentiment_timeline(spark: SparkSession, source_dir: str, schema, sink
     return w.start()
 
 
+#: Folder with an empty file per finished snapshot.
+POINTERS = "_pointers"
 _COUNT_COLS = ("n_positive", "n_negative", "n_neutral", "sum_score", "total_count")
 
 
@@ -80,21 +82,47 @@ def _latest_counts(raw: DataFrame) -> DataFrame:
     ).select("period", "s.*")
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder in any store that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def compact_timeline(spark: SparkSession, sink_dir: str, snapshot_dir: str) -> None:
-    """Fold every micro-batch written so far into one snapshot (one row per
-    period, with the batch it came from). Readers then combine the snapshot
-    with newer batches only; old batch folders can be expired by retention."""
+def _snapshot(spark: SparkSession, snapshot_dir: str) -> int:
+    """The number of the newest snapshot that has its pointer, or 0."""
+    fs, pointers = _folder(spark, os.path.join(snapshot_dir, POINTERS))
+    return max((int(e.getPath().getName()) for e in fs.listStatus(pointers)), default=0) if fs.exists(pointers) else 0
+
+
+def _version(snapshot_dir: str, number: int) -> str:
+    return os.path.join(snapshot_dir, f"version={number}")
+
+
+def compact_timeline(spark: SparkSession, sink_dir: str, snapshot_dir: str) -> int:
+    """Fold every micro-batch written so far into a new snapshot (one row per
+    period, with the batch it came from) and return its number. Readers then
+    combine the snapshot with newer batches only; old batch folders can be
+    expired by retention.
+
+    A snapshot gets its own folder and counts once its pointer, an empty file,
+    is there. A run that dies before leaves the last snapshot in force, and
+    the next run writes the same folder again. The snapshot before stays for
+    readers that have begun; older ones are deleted. One run at a time."""
+    held = _snapshot(spark, snapshot_dir)
     raw = spark.read.parquet(sink_dir)
-    if _path_exists(spark, snapshot_dir):
-        raw = raw.unionByName(spark.read.parquet(snapshot_dir))
-    _latest_counts(raw).write.mode("overwrite").parquet(snapshot_dir + ".tmp")
-    spark.read.parquet(snapshot_dir + ".tmp").write.mode("overwrite").parquet(snapshot_dir)
+    if held:
+        raw = raw.unionByName(spark.read.parquet(_version(snapshot_dir, held)))
+    _latest_counts(raw).write.mode("overwrite").parquet(_version(snapshot_dir, held + 1))
+    _point(spark, snapshot_dir, held + 1)
+    if held > 1:
+        fs, old = _folder(spark, _version(snapshot_dir, held - 1))
+        fs.delete(old, True)
+    return held + 1
+
+
+def _point(spark: SparkSession, snapshot_dir: str, number: int) -> None:
+    fs, pointer = _folder(spark, os.path.join(snapshot_dir, POINTERS, str(number)))
+    fs.createNewFile(pointer)
 
 
 def read_timeline(spark: SparkSession, sink_dir: str, snapshot_dir: str | None = None) -> DataFrame:
@@ -103,8 +131,8 @@ def read_timeline(spark: SparkSession, sink_dir: str, snapshot_dir: str | None =
     over periods (already aggregated). With a snapshot, only batches newer
     than it are read (partition pruning on ``batch_id``)."""
     raw = spark.read.parquet(sink_dir)
-    if snapshot_dir and _path_exists(spark, snapshot_dir):
-        snap = spark.read.parquet(snapshot_dir)
+    if snapshot_dir and (number := _snapshot(spark, snapshot_dir)):
+        snap = spark.read.parquet(_version(snapshot_dir, number))
         newer = raw.filter(F.col("batch_id") > snap.agg(F.max("batch_id")).scalar())
         raw = snap.unionByName(newer.select("period", *_COUNT_COLS, "batch_id"))
     latest = _latest_counts(raw)

@@ -242,7 +242,10 @@ def _stack_counts(rows) -> str:
 
 
 CUSTOMER_SQL = {
+    "a01_read_customers_csv": _w(CB_RAW, "SELECT * FROM cb_raw"),
     "a02_read_table": "SELECT * FROM customer",
+    "a03_overwrite_table": _w(CB_RAW, "SELECT * REPLACE (CAST(customer_id AS BIGINT) AS customer_id) FROM (" + _clean_sql() + ")"),
+    "a04_write_csv": _w(SCORED, f"SELECT customer_id, churn_probability, {risk_level_sql()} AS risk_level FROM scored"),
     "b01_clean_customers": _w(CB_RAW, _clean_sql()),
     "b02_coerce_numeric": _w(CB_RAW, f"""
 SELECT customerID, {_RAW_NUM['tenure']} AS tenure, {_RAW_NUM['monthly']} AS monthly_charges,

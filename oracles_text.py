@@ -97,6 +97,27 @@ SELECT period, round(positive_pct, 6) AS positive_pct, round(negative_pct, 6) AS
   round(neutral_pct, 6) AS neutral_pct, round(avg_score, 6) AS avg_score, total_count,
   round(net_sentiment, 6) AS net_sentiment, round(trend, 6) AS trend FROM tl"""
 
+STATS = """,
+x AS (
+  SELECT net_sentiment, row_number() OVER (ORDER BY period) AS a, row_number() OVER (ORDER BY period DESC) AS d,
+    count(*) OVER () AS n FROM tl
+),
+g AS (
+  SELECT max(n) AS n_periods, avg(net_sentiment) FILTER (WHERE d <= 4) AS recent_avg,
+    avg(net_sentiment) FILTER (WHERE a <= greatest(1, n - 4)) AS older_avg FROM x
+),
+t AS (SELECT *, CASE WHEN n_periods < 2 THEN NULL WHEN recent_avg - older_avg > 5 THEN 'improving'
+  WHEN recent_avg - older_avg < -5 THEN 'worsening' ELSE 'stable' END AS direction FROM g)
+SELECT 'total_feedback' AS section, 'total' AS key, CAST(count(*) AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text FROM fb
+UNION ALL SELECT 'avg_sentiment_score', 'mean', round(avg(sentiment_score), 4), NULL FROM fb
+UNION ALL SELECT 'index_stats', 'n_documents', CAST(count(*) AS DOUBLE), 'spark-exact-cosine' FROM fb
+UNION ALL SELECT 'sentiment_distribution', sentiment_label, round(count(*) * 100.0 / sum(count(*)) OVER (), 1), NULL FROM fb GROUP BY 2
+UNION ALL SELECT 'category_distribution', category, CAST(count(*) AS DOUBLE), NULL FROM fb WHERE category IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'channel_distribution', channel, CAST(count(*) AS DOUBLE), NULL FROM fb WHERE channel IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'trend', 'magnitude', round(abs(recent_avg - older_avg), 1), direction FROM t
+UNION ALL SELECT 'trend', 'recent_avg', round(recent_avg, 1), direction FROM t
+UNION ALL SELECT 'trend', 'older_avg', round(older_avg, 1), direction FROM t"""
+
 TEXT_SQL = {
     "b27_sentiment_from_score": _w(FB, "SELECT feedback_id, sentiment_score, sentiment_label FROM fb"),
     "b28_filter_feedback": _w(FB, """
@@ -126,6 +147,18 @@ FROM fb WHERE created_at >= (SELECT max(created_at) FROM fb) - INTERVAL 30 DAY""
     "d25b_sentiment_timeline_monthly": _w(FB + TL.format(unit="month", src="fb"), TL_SELECT),
     "e01_rolling_mean": _w(EV + ",\nevc AS (SELECT *, ts AS created_at FROM ev)" + TL.format(unit="day", src="evc"), """
 SELECT period, round(net_sentiment, 6) AS net_sentiment, round(trend, 6) AS trend, total_count FROM tl"""),
+    "a05_parquet_artifacts": _w(FB + TL.format(unit="week", src="fb"), TL_SELECT),
+    "k02_stream_sentiment_timeline": _w(EV + ",\nevc AS (SELECT *, ts AS created_at FROM ev)" + TL.format(unit="day", src="evc"), TL_SELECT),
+    "d23_nlp_stats": _w(FB + TL.format(unit="week", src="fb"), STATS),
+    "a06_json_artifacts": _w(FB + TL.format(unit="week", src="fb"), STATS),
+    "h02_to_metadata_map": _w(FB, """
+SELECT feedback_id, unnest(['category', 'channel', 'sentiment_label', 'created_at', 'sentiment_score']) AS key,
+  unnest([coalesce(category, ''), coalesce(channel, ''), sentiment_label, CAST(created_at AS VARCHAR), CAST(sentiment_score AS VARCHAR)]) AS value FROM fb"""),
+    "b07b_label_codes": _w(FB + """,
+coded AS (SELECT *, dense_rank() OVER (ORDER BY category NULLS LAST) - 1 AS c, dense_rank() OVER (ORDER BY channel NULLS LAST) - 1 AS h,
+  dense_rank() OVER (ORDER BY sentiment_label) - 1 AS s FROM fb)""", """
+SELECT feedback_id, CASE WHEN category IS NULL THEN -1 ELSE c END AS category_code, CASE WHEN channel IS NULL THEN -1 ELSE h END AS channel_code,
+  s AS sentiment_label_code FROM coded"""),
     "d26_detect_trend": _w(FB + TL.format(unit="week", src="fb"), """,
 x AS (
   SELECT net_sentiment, row_number() OVER (ORDER BY period) AS a, row_number() OVER (ORDER BY period DESC) AS d,
