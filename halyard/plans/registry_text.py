@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from halyard.functions import text as tx
 from halyard.functions.numeric import rnd
 from halyard.operators import impact_search as im
+from halyard.operators import gram_index as gi
 from halyard.operators import label_codes as lc
 from halyard.operators import search as se
 from halyard.operators import sentiment as st
@@ -45,7 +46,10 @@ def _bench_queries(spark, d):
 
 
 def b29_substring_search(spark, d):
-    return se.substring_search(read_table(spark, d, "documents"), _bench_queries(spark, d), k=5)
+    docs = read_table(spark, d, "documents")
+    postings = materialized(spark, "gram_postings", d, lambda: gi.postings(docs).hint("rebalance", "shard"), ["shard"])
+    index = gi.GramIndex(postings, materialized(spark, "gram_sizes", d, lambda: gi.sizes(postings)))
+    return gi.substring_search(index, docs, _bench_queries(spark, d), k=5)
 
 
 def d20_sentiment_distribution(spark, d):

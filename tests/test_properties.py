@@ -494,11 +494,6 @@ def test_chunked_query_sets_equal_single_broadcast(spark):
     one = sorted(tuple(r) for r in se.vector_search(emb, q, k=4).collect())
     chunked = sorted(tuple(r) for r in se.vector_search(emb, q, k=4, max_broadcast_queries=2).collect())
     assert one == chunked and len(one) == 28
-    docs = spark.createDataFrame([(i, f"alpha beta {i % 5} gamma") for i in range(30)], "doc_id long, text string")
-    qs = spark.createDataFrame([(j, f"beta {j}") for j in range(5)], "query_id long, query string")
-    a = sorted(tuple(r) for r in se.substring_search(docs, qs, k=3).collect())
-    b = sorted(tuple(r) for r in se.substring_search(docs, qs, k=3, max_broadcast_queries=2).collect())
-    assert a == b and len(a) == 15
 
 
 def test_page_end_and_seeded_sample(spark):
