@@ -12,9 +12,10 @@ A document is contaminated by an item if some stretch of its words is within
 2. CGK embedding: windows and items of one size go through the same random
    walks, which turn few edits into few differing positions.
 3. Bit sampling: each repetition hashes a few sampled positions of one walk; a
-   window meets the items that agree in a repetition. Repetitions are added
-   until simulated occurrences at the distance limit are met with the target
-   recall.
+   window meets the items that agree in a repetition. For each item size,
+   repetitions are added until simulated occurrences at the distance limit are
+   met with the target recall; a size that doesn't reach it with
+   `MAX_REPETITIONS` has all windows of step 1 verified.
 4. Verification: exact edit distance of the item to the best stretch around
    the window.
 
@@ -47,6 +48,8 @@ SIMULATED = 200
 SEED = 11
 MAX_GRAM = 3
 WORD = re.compile(r"\w+")
+#: A word pair or triple is told apart by 64 bits; equal ones of different words are only verified in vain.
+GRAM_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Walked positions a word, as in the embedding's definition.
 STRETCH = 3
 
@@ -95,7 +98,8 @@ class Index:
     salts: np.ndarray | None = None
     samples: np.ndarray | None = None  # (repetition, SAMPLED) shares of the walk
     tables: dict[tuple[int, int], dict[int, list[int]]] = field(default_factory=dict)
-    recall: float = 1.0
+    repetitions: dict[int, int] = field(default_factory=dict)  # by size; 0: all windows are verified
+    recalls: dict[int, float] = field(default_factory=dict)  # simulated, by size
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -135,13 +139,21 @@ def _codes(index: Index, rows: np.ndarray, repetitions: int) -> np.ndarray:
     return out
 
 
-def _simulated(index: Index, rng: np.random.Generator) -> np.ndarray:
-    """(case, repetition): whether an item meets its copy with as many random
-    edits as the limit allows, cut or filled to the item's size as a window is."""
-    size, cases = len(index.vocabulary) + 1000, {}
-    for k in rng.permutation(sorted(index.items))[:SIMULATED].tolist():
+def gram_keys(ids: np.ndarray, q: int) -> np.ndarray:
+    """64-bit keys of all runs of q ids."""
+    key = np.zeros(max(0, len(ids) - q + 1), np.uint64)
+    for j in range(q):
+        key = _mix(key * GRAM_FACTOR + ids[j : len(key) + j].astype(np.uint64))
+    return key.view(np.int64)
+
+
+def _simulated(index: Index, own: list[int], rng: np.random.Generator) -> np.ndarray:
+    """(case, repetition): whether items of one size meet their copies with as
+    many random edits as the limit allows, cut or filled to the size as a
+    window is. There are SIMULATED cases, with few items several for each."""
+    size, rows, n = len(index.vocabulary) + 1000, [], len(index.items[own[0]])
+    for k in np.resize(rng.permutation(own), SIMULATED).tolist():
         item = index.items[k]
-        n = len(item)
         copy = item.tolist()
         for _ in range(edit_limit(n, index.similarity)):
             at, kind = int(rng.integers(0, max(1, len(copy)))), int(rng.integers(0, 3))
@@ -151,12 +163,9 @@ def _simulated(index: Index, rng: np.random.Generator) -> np.ndarray:
                 copy.insert(at, int(rng.integers(1, size)))
             elif copy:
                 del copy[at]
-        cases.setdefault(n, []).extend((item.tolist(), (copy + rng.integers(1, size, n).tolist())[:n]))
-    met = []
-    for rows in cases.values():
-        codes = _codes(index, np.array(rows, np.int64), MAX_REPETITIONS)
-        met.append((codes[:, ::2] == codes[:, 1::2]).T)
-    return np.concatenate(met)
+        rows += [item.tolist(), (copy + rng.integers(1, size, n).tolist())[:n]]
+    codes = _codes(index, np.array(rows, np.int64), MAX_REPETITIONS)
+    return (codes[:, ::2] == codes[:, 1::2]).T
 
 
 def build_index(names: list, texts: list[str], similarity: float = SIMILARITY, recall: float = RECALL) -> Index:
@@ -167,17 +176,12 @@ def build_index(names: list, texts: list[str], similarity: float = SIMILARITY, r
         if found:
             index.items[k] = np.array([index.vocabulary.setdefault(w, len(index.vocabulary) + 1) for w in found], np.int64)
     by_gram: dict[int, list[tuple[int, int, int]]] = {}
-    base = len(index.vocabulary) + 1
     for k, item in index.items.items():
         n = len(item)
         limit = edit_limit(n, similarity)
         q = max(1, min(MAX_GRAM, -(-(n - limit) // (limit + 1))))
         index.shared[k] = max(1, n - q + 1 - limit * q)
-        for p in range(n - q + 1):
-            key = 0
-            for c in item[p : p + q].tolist():
-                key = key * base + c
-            by_gram.setdefault(q, []).append((key, k, p))
+        by_gram.setdefault(q, []).extend((key, k, p) for p, key in enumerate(gram_keys(item, q).tolist()))
     for q, rows in by_gram.items():
         rows.sort()
         table = np.array(rows, np.int64)
@@ -186,33 +190,35 @@ def build_index(names: list, texts: list[str], similarity: float = SIMILARITY, r
     rng = np.random.default_rng(SEED)
     index.salts = rng.integers(1, 1 << 20, WALKS)
     index.samples = rng.random((MAX_REPETITIONS, SAMPLED)) * 0.6  # a walk has read half of its string by then
-    if index.items:
-        met = np.logical_or.accumulate(_simulated(index, rng), axis=1).mean(axis=0)
-        enough = np.flatnonzero(met >= recall)
-        repetitions = int(enough[0]) + 1 if len(enough) else MAX_REPETITIONS
-        index.samples, index.recall = index.samples[:repetitions], float(met[repetitions - 1])
-        for n in {len(x) for x in index.items.values()}:
-            own = [k for k, x in index.items.items() if len(x) == n]
-            for r, codes in enumerate(_codes(index, np.stack([index.items[k] for k in own]), repetitions)):
-                table = index.tables.setdefault((n, r), {})
-                for k, code in zip(own, codes.tolist()):
-                    table.setdefault(code, []).append(k)
+    by_size: dict[int, list[int]] = {}
+    for k, item in index.items.items():
+        by_size.setdefault(len(item), []).append(k)
+    for n, own in sorted(by_size.items()):
+        if edit_limit(n, similarity):
+            met = np.logical_or.accumulate(_simulated(index, own, rng), axis=1).mean(axis=0)
+            enough = np.flatnonzero(met >= recall)
+            index.repetitions[n] = int(enough[0]) + 1 if len(enough) else 0
+            index.recalls[n] = float(met[enough[0]]) if len(enough) else 1.0
+        else:  # equal strings agree in any repetition
+            index.repetitions[n], index.recalls[n] = 1, 1.0
+        for r, codes in enumerate(_codes(index, np.stack([index.items[k] for k in own]), index.repetitions[n])):
+            table = index.tables.setdefault((n, r), {})
+            for k, code in zip(own, codes.tolist()):
+                table.setdefault(code, []).append(k)
     return index
 
 
-def _windows(index: Index, ids: np.ndarray, doc: np.ndarray) -> dict[int, set[tuple[int, int]]]:
-    """{size: {(document, begin)}} over the concatenated words of a batch;
-    0 stands for a word that no item has."""
-    out: dict[int, set[tuple[int, int]]] = {}
-    base = len(index.vocabulary) + 1
+def _windows(index: Index, ids: np.ndarray, doc: np.ndarray) -> dict[int, dict[tuple[int, int], set[int]]]:
+    """{size: {(document, begin): items}} over the concatenated words of a
+    batch; 0 stands for a word that no item has. The items that laid a window
+    are only listed for sizes that are verified without sampling."""
+    out: dict[int, dict[tuple[int, int], set[int]]] = {}
     for q, (keys, first, count, postings) in index.grams.items():
         if len(ids) < q:
             continue
-        key, ok = np.zeros(len(ids) - q + 1, np.int64), np.ones(len(ids) - q + 1, bool)
+        key, ok = gram_keys(ids, q), np.ones(len(ids) - q + 1, bool)
         for j in range(q):
-            part = ids[j : len(ids) - q + 1 + j]
-            key = key * base + part
-            ok &= part > 0
+            ok &= ids[j : len(ok) + j] > 0
         ok &= doc[: len(ok)] == doc[q - 1 :]
         at = np.flatnonzero(ok)
         slot = np.searchsorted(keys, key[at])
@@ -233,7 +239,10 @@ def _windows(index: Index, ids: np.ndarray, doc: np.ndarray) -> dict[int, set[tu
         need = np.array([index.shared[k] for k in item[begin].tolist()])
         keep = np.repeat(kinds >= need, np.diff(begin, append=len(pair)))
         for d, k, s in zip(doc[place[keep]].tolist(), item[keep].tolist(), (place[keep] - offset[keep]).tolist()):
-            out.setdefault(len(index.items[k]), set()).add((d, s))
+            n = len(index.items[k])
+            laid = out.setdefault(n, {}).setdefault((d, s), set())
+            if not index.repetitions[n]:
+                laid.add(k)
     return out
 
 
@@ -249,16 +258,16 @@ def find(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, int
     doc = np.repeat(np.arange(len(texts)), lengths)
     starts = np.cumsum(lengths) - lengths
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for n, spots in _windows(index, ids, doc).items():
-        spots = sorted(spots)
+    for n, laid in _windows(index, ids, doc).items():
+        spots = sorted(laid)
         for chunk in range(0, len(spots), 4096):
             part = spots[chunk : chunk + 4096]
             at = np.array([s for _, s in part])[:, None] + np.arange(n)
             owner = np.array([d for d, _ in part])
             low, high = starts[owner][:, None], (starts + lengths)[owner][:, None]
             rows = np.where((at >= low) & (at < high), ids[np.clip(at, 0, len(ids) - 1)], 0)
-            codes = _codes(index, rows, len(index.samples))
-            met: set[tuple[int, int]] = set()
+            codes = _codes(index, rows, index.repetitions[n]) if index.repetitions[n] else ()
+            met = {(w, k) for w, spot in enumerate(part) for k in laid[spot]}
             for r in range(len(codes)):
                 table = index.tables[n, r]
                 for w, code in enumerate(codes[r].tolist()):

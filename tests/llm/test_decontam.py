@@ -9,14 +9,16 @@ from tests.conftest import SF_SMALL
 
 
 def plain_distance(item, words):
-    """Least edit distance of the item to any stretch, by the textbook table."""
-    row = [0] * (len(words) + 1)
-    for i, a in enumerate(item, 1):
-        new = [i]
-        for j, b in enumerate(words, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
-        row = new
-    return min(row)
+    """Least edit distance of the item to any stretch, by the textbook table, a row at a time."""
+    code = {}
+    number = lambda seq: np.array([code.setdefault(w, len(code)) for w in seq], np.int64)
+    a, b = number(item), number(words)
+    at = np.arange(len(b) + 1)
+    row = np.zeros(len(b) + 1, np.int64)
+    for i, x in enumerate(a, 1):
+        new = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (b != x))))
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
 
 
 def brute(docs, items):
@@ -31,9 +33,9 @@ def brute(docs, items):
 def test_equals_all_pairs(spark, small_docs):
     items = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contamination(small_docs, items, ["doc_id"]).collect()}
-    docs = [(r["doc_id"], r["text"][:6000]) for r in small_docs.collect()]
-    expected = brute([(d, t) for d, t in docs if len(t) < 4000], [(r["item_id"], r["text"]) for r in items.collect()])
-    assert expected <= got and expected
+    docs = [(r["doc_id"], r["text"]) for r in small_docs.collect()]
+    expected = brute(docs, [(r["item_id"], r["text"]) for r in items.collect()])
+    assert got == expected and expected
 
 
 @pytest.fixture(scope="module")
@@ -65,12 +67,45 @@ def test_recall_reaches_the_target(edited):
     items, texts, truth = edited
     index = decontam.build_index(list(range(len(items))), items)
     found = {(a, b) for a, b, *_ in decontam.find(index, texts)}
-    assert index.recall >= decontam.RECALL
+    assert set(index.recalls) == {len(x.split()) for x in items} and min(index.recalls.values()) >= decontam.RECALL
     assert np.mean([(k, i) in found for k, i in enumerate(truth)]) >= 0.98
     exact = {(k, i) for k, t in enumerate(texts[:60]) for i, x in enumerate(items) if plain_distance(x.split(), t.split()) <= decontam.edit_limit(len(x.split()))}
     assert {f for f in found if f[0] < 60} <= exact
 
 
+def test_every_length_reaches_the_target(edited):
+    """Recall by item length, not on average over lengths."""
+    rng, words = random.Random(8), [f"v{k}" for k in range(500)]
+    for n in (5, 9, 10, 15, 24, 25, 40, 90):
+        items = [" ".join(rng.choices(words, k=n)) for _ in range(5)]
+        index = decontam.build_index(list(range(5)), items)
+        texts = []
+        for k in range(200):
+            copy = items[k % 5].split()
+            for at in rng.sample(range(n), decontam.edit_limit(n)):
+                copy[at] = "other"
+            texts.append(" ".join(rng.choices(words, k=30) + copy + rng.choices(words, k=30)))
+        found = {(a, b) for a, b, *_ in decontam.find(index, texts)}
+        assert np.mean([(k, k % 5) in found for k in range(200)]) >= 0.97, n
+
+
+def test_sizes_beyond_the_repetitions_lose_nothing(edited, monkeypatch):
+    items, texts, _ = edited
+    monkeypatch.setattr(decontam, "MAX_REPETITIONS", 2)
+    index = decontam.build_index(list(range(len(items))), items)
+    assert 0 in index.repetitions.values()
+    found = {(a, b) for a, b, *_ in decontam.find(index, texts[:80])}
+    unsampled = {n for n, r in index.repetitions.items() if not r}
+    exact = {(k, i) for k, t in enumerate(texts[:80]) for i, x in enumerate(items) if plain_distance(x.split(), t.split()) <= decontam.edit_limit(len(x.split()))}
+    assert {(k, i) for k, i in exact if len(items[i].split()) in unsampled} <= found <= exact
+
+
+def test_gram_keys_of_any_vocabulary():
+    ids = np.array([5, 3_000_000, 7_000_000, 5, 3_000_000, 7_000_000, 1])
+    keys = decontam.gram_keys(ids, 3)
+    assert keys[0] == keys[3] and len(set(keys.tolist())) == 4 and len(decontam.gram_keys(ids, 8)) == 0
+
+
 def test_stretch_is_exact(edited):
     items, texts, _ = edited
     code = {}
