@@ -3,18 +3,25 @@
 Patterns find the protected entities (e-mail, IPv4 address, payment card,
 phone). The corpus then tells which other words give an entity away: with
 documents as the sample space, the share of the entity's information that a
-word in its neighbourhood reveals is
+word reveals is
 
     PMI(word; entity) / IC(entity),   IC = log2(N / n_e),
     PMI = log2(n_te * N / (n_t * n_e))
 
-n_te counts the documents that have the word within `REACH` words of the
-entity, n_t and n_e those that have either at all. A word that reveals at least
-`REVEAL` of it, in at least `SUPPORT` different neighbourhoods (copies of one
-passage are one), is generalised, and one that reveals `REMOVE` is removed.
-Only neighbourhoods of an entity are changed, so a document without personal
+n_te counts the documents that hold both, at whatever distance, n_t and n_e
+those that hold either. A word that reveals at least `REVEAL` of it is
+generalised wherever it stands in a document of the entity, one that reveals
+`REMOVE` is removed. This holds for an entity of a single document too: what no
+or hardly any other document says leads to it. A document without personal
 data stays as it is.
 
+Words can't reveal that much if n_t is over N^(1 - REVEAL) * n_e^REVEAL (n_te is
+at most n_e), so those are left before words and entities are paired. What
+stands in exactly the same documents has the same counts, so pairs are formed of
+classes: all entities, and all words, of one set of documents (told by its size
+and two 64-bit sums of row hashes) are one. A list of a thousand addresses that
+only one document holds is one entity there.
+
 All counts are aggregates over all documents; nothing is broadcast that isn't
 small by Spark's own size check.
 """
@@ -25,7 +32,6 @@ import re
 
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +39,6 @@ from halyard.llm.common import numbered, python_ready, stored, with_row_id
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-REACH, SUPPORT = 8, 2
 REVEAL, REMOVE = 0.9, 0.98
 #: What the sanitised text shows in place of a span; a removed word leaves nothing.
 SHOWN = {k: f"[{k.upper()}]" for k in (*KINDS, TERM)}
@@ -94,71 +99,85 @@ def entity_name(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _NOT_DIGIT.sub('', value)}"
 
 
-def neighbourhoods(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, str, int, int]]:
-    """(entity, neighbourhood, word, start, end) of the words within REACH
-    words of each entity and outside all spans."""
-    if not spans:
-        return []
-    taken = sorted((s, e) for _, s, e in spans)
-    words, k = [], 0
+def occurrences(text: str, spans: list[dict], words: dict[str, bool]) -> list[dict]:
+    """Where `words` (word: removed) stand in the text outside the spans."""
+    taken, out, k = [], [], 0
+    for start, end in sorted((s["start"], s["end"]) for s in spans):
+        if taken and start <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
     for m in _WORD.finditer(text):
+        removed = words.get(m[0].lower())
+        if removed is None:
+            continue
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        if not (k < len(taken) and taken[k][0] < m.end()):
-            words.append((m.start(), m.end()))
-    starts = [s for s, _ in words]
-    out = []
-    for kind, s, e in spans:
-        left = _at_or_after(starts, s)
-        near = words[max(0, left - REACH) : left] + [w for w in words[left : left + REACH]]
-        named = [(text[a:b].lower(), a, b) for a, b in near]
-        place = xxhash.xxh64_intdigest(" ".join(w for w, _, _ in named)) - (1 << 63)
-        out += [(entity_name(kind, text[s:e]), place, *w) for w in named]
+        if k == len(taken) or taken[k][0] >= m.end():
+            out.append({"start": m.start(), "end": m.end(), "removed": removed})
     return out
 
 
-def _at_or_after(starts: list[int], at: int) -> int:
-    low, high = 0, len(starts)
-    while low < high:
-        mid = (low + high) // 2
-        low, high = (mid + 1, high) if starts[mid] < at else (low, mid)
-    return low
-
-
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("place", pa.int64()), ("word", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_TERMS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("removed", pa.bool_())]))
+_TERM_TYPE = "array<struct<start:long,end:long,removed:boolean>>"
 
 
 def _scan(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """`keep`, the spans, the different entities and, where there are any, the text."""
+
     def run(batches):
         for b in batches:
-            spans, near = [], []
+            texts, spans, entities = [], [], []
             for t in b.column(len(keep)).to_pylist():
                 found = base_spans(t or "")
+                texts.append(t if found else None)
                 spans.append([dict(zip(("kind", "start", "end"), s)) for s in found])
-                near.append([dict(zip(("entity", "place", "word", "start", "end"), n)) for n in neighbourhoods(t or "", found)])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(spans, _SPANS), pa.array(near, _NEAR)], names=[*keep, "__base", "__near"])
+                entities.append(sorted({entity_name(k, t[s:e]) for k, s, e in found}))
+            columns = [pa.array(texts, pa.string()), pa.array(spans, _SPANS), pa.array(entities, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *columns], names=[*keep, "__text", "__base", "__entities"])
 
     source = python_ready(docs).select(*keep, F.col(text).cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)])
-    return source.mapInArrow(
-        run, f"{kinds}, `__base` array<struct<kind:string,start:long,end:long>>, `__near` array<struct<entity:string,place:long,word:string,start:long,end:long>>"
-    )
-
-
-def revealing_words(near: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """(entity, word, share) of the words that reveal at least REVEAL of an
-    entity. `near` has (row, entity, place, word)."""
-    pairs = near.groupBy("entity", "word").agg(F.count_distinct("row").alias("n_te"), F.count_distinct("place").alias("support")).filter(F.col("support") >= SUPPORT)
-    pairs = stored(pairs)
-    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    terms = pairs.select("word").distinct()
-    used = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text).cast("string")), r"[^\p{L}]+"))).alias("word"))
-    totals = used.join(terms, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n_t"))
-    n = F.lit(float(docs.count()))
-    counted = pairs.join(entities, "entity").join(totals, "word", "left").withColumn("n_t", F.greatest(F.coalesce("n_t", F.lit(0)), F.col("n_te")))
-    pmi, ic = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))), F.log2(n / F.col("n_e"))
-    return counted.withColumn("share", F.when(ic > 0, pmi / ic)).filter(F.col("share") >= REVEAL).select("entity", "word", "share")
+    return source.mapInArrow(run, f"{kinds}, `__text` string, `__base` array<struct<kind:string,start:long,end:long>>, `__entities` array<string>")
+
+
+def _words(text: Column) -> Column:
+    """The different words of a text, in lower case."""
+    lower = F.transform(F.split(text, r"[^\p{L}]+"), F.lower)
+    return F.array_distinct(F.filter(lower, lambda w: w != ""))
+
+
+def _document_sets(members: DataFrame, key: str, row: str) -> DataFrame:
+    """(key, n, set): how many documents hold it, and which set of them that is."""
+    sums = members.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(row)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), row)).alias("y"))
+    return sums.select(key, "n", F.struct("n", "x", "y").alias("set"))
+
+
+def revealing_words(holders: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(row, words): the (word, removed) that reveal at least REVEAL of an entity
+    of the row. `holders` has (row, entities, text) of the documents of `docs`
+    that hold one."""
+    n = float(docs.count())
+    named = holders.select("row", F.explode("entities").alias("entity"))
+    entities = _document_sets(named, "entity", "row")
+    classes = stored(named.join(entities, "entity").select("row", F.col("set").alias("e")).distinct())
+    most = lambda n_e: F.lit(n ** (1 - REVEAL) * (1 + 1e-9)) * F.pow(n_e, F.lit(REVEAL))
+    largest = float(classes.agg(F.max("e.n")).first()[0] or 0)
+
+    rows = with_row_id(docs.select(F.col(text).cast("string").alias("text")), "at")
+    used = _document_sets(rows.select("at", F.explode(_words(F.col("text"))).alias("word")), "word", "at")
+    held = stored(holders.select("row", F.explode(_words(F.col("text"))).alias("word")))
+    rare = stored(used.filter(F.col("n") <= most(F.lit(largest))).join(held.select("word").distinct(), "word", "left_semi"))
+    known = stored(held.join(rare, "word").select("row", "word", F.col("set").alias("t")))
+
+    met = known.select("row", "t").distinct().join(classes, "row").filter(F.col("t.n") <= most(F.col("e.n")))
+    counted = met.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_te"))
+    n_t, n_e = F.col("t.n"), F.col("e.n")
+    pmi, ic = F.log2(F.col("n_te") * F.lit(n) / (n_t * n_e)), F.log2(F.lit(n) / n_e)
+    shares = counted.withColumn("share", F.when(ic > 0, pmi / ic)).filter(F.col("share") >= REVEAL).select("e", "t", "share")
+    told = met.join(shares, ["e", "t"]).groupBy("row", "t").agg((F.max("share") >= REMOVE).alias("removed"))
+    return known.join(told, ["row", "t"]).groupBy("row").agg(F.collect_list(F.struct("word", "removed")).alias("words"))
 
 
 def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -167,15 +186,19 @@ def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     start; offsets in code points, ends exclusive.
 
     A null text is an empty one; both have no spans. Repeated rows come back
-    each. Texts are read whole."""
+    each, and count as a document each. Texts are read whole."""
     seen = stored(_scan(with_row_id(docs, "__row"), ["__row", *keep], text))
-    near = seen.select(F.col("__row").alias("row"), F.explode("__near").alias("x")).select("row", "x.*")
-    words = revealing_words(near, docs, text)
-    terms = near.join(words, ["entity", "word"]).groupBy("row", "start", "end").agg((F.max("share") >= REMOVE).alias("removed"))
-    by_row = terms.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
-    joined = seen.join(by_row.withColumnRenamed("row", "__row"), "__row", "left")
-    none = F.array().cast("array<struct<start:long,end:long,removed:boolean>>")
-    return joined.select(*keep, F.col("__base").alias("base"), F.coalesce("terms", none).alias("terms"))
+    holders = seen.filter(F.size("__base") > 0).select(F.col("__row").alias("row"), F.col("__entities").alias("entities"), F.col("__text").alias("text"), F.col("__base").alias("base"))
+    words = revealing_words(holders, docs, text)
+
+    @F.arrow_udf(_TERM_TYPE)
+    def marked(t, b, w):
+        rows = zip(t.to_pylist(), b.to_pylist(), w.to_pylist())
+        return pa.array([occurrences(x, y, {v["word"]: v["removed"] for v in z}) for x, y, z in rows], _TERMS)
+
+    by_row = holders.join(words, "row").select(F.col("row").alias("__row"), marked("text", "base", "words").alias("__terms"))
+    joined = seen.select("__row", *keep, "__base").join(by_row, "__row", "left")
+    return joined.select(*keep, F.col("__base").alias("base"), F.coalesce("__terms", F.array().cast(_TERM_TYPE)).alias("terms"))
 
 
 def written(spans: Column) -> Column:
