@@ -2,7 +2,8 @@
 
 The index holds (gram, id) for every different run of one to three characters
 of a text in lower case, in folders by the gram's hash, and how many texts
-have each gram. A query's texts must hold all of its grams, so the postings
+have each gram. A gram is a number, 21 bits a character, made from a text's
+code points in one pass over the array. A query's texts must hold all of its grams, so the postings
 of its rarest few are intersected and the texts left are looked at. Queries of
 up to three characters are grams themselves and need no text.
 """
@@ -11,12 +12,18 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from halyard.session import ship_package, spread_partitions
+
 #: Longest gram, folders of the postings, and grams of a query whose postings are read.
 LONGEST, SHARDS, RAREST = 3, 64, 4
+#: Texts whose grams leave a task at once.
+BLOCK_TEXTS = 256
 #: Rows of (32-byte key, gram) up to which the grams read are broadcast, some 20 MB; more are joined by sorting.
 BROADCAST_ROWS = 200_000
 
@@ -28,13 +35,32 @@ class GramIndex(NamedTuple):
     sizes: DataFrame
 
 
-def _runs(chars: Column, n: int) -> Column:
-    """All runs of n of these characters, in one pass over shifted arrays."""
-    out = chars
-    for k in range(1, n):
-        # an array that ends earlier leaves null, and so does the run
-        out = F.zip_with(out, F.slice(chars, F.lit(k + 1), F.size(chars)), lambda a, b: F.concat(a, b))
-    return F.array_compact(out)
+def codes(text: str, query: bool = False) -> np.ndarray:
+    """The different runs of 1 to LONGEST characters of a text; of a query
+    those of LONGEST characters, or itself if it is shorter."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+    out, run = [], chars
+    for n in range(1, min(LONGEST, len(chars)) + 1):
+        if n > 1:
+            run = (run[:-1] << 21) | chars[n - 1 :]
+        out.append(run)
+    return np.unique(np.concatenate(out[-1:] if query else out)) if out else chars
+
+
+def _exploded(rows: DataFrame, query: bool = False) -> DataFrame:
+    """(key, gram) of (key, text), each pair once per row."""
+    ship_package(rows.sparkSession)
+    key, text = rows.columns
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK_TEXTS):
+                part = b.slice(at, BLOCK_TEXTS)
+                found = [codes(t, query) for t in part.column(1).to_pylist()]
+                own = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array(np.concatenate(found), pa.int64())], names=[key, "gram"])
+
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, gram long")
 
 
 def _lower(text: str) -> Column:
@@ -48,10 +74,8 @@ def shard(gram: str) -> Column:
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(gram, id, shard), each pair once per row; null and empty texts have
     none. Within a row grams are made distinct before they leave it."""
-    chars = F.split(_lower(text_col), "")
-    rows = docs.select(F.col(id_col).alias("id"), F.filter(chars, lambda c: c != "").alias("c"))
-    grams = F.array_distinct(F.concat(*[_runs(F.col("c"), n) for n in range(1, LONGEST + 1)]))
-    return rows.select("id", F.explode(grams).alias("gram")).withColumn("shard", shard("gram"))
+    rows = spread_partitions(docs.select(F.col(id_col).alias("id"), _lower(text_col).alias("text")))
+    return _exploded(rows).select("id", "gram", shard("gram").alias("shard"))
 
 
 def sizes(stored_postings: DataFrame) -> DataFrame:
@@ -62,10 +86,8 @@ def sizes(stored_postings: DataFrame) -> DataFrame:
 def _wanted(index: GramIndex, queries: DataFrame) -> DataFrame:
     """(__query, gram, n_grams): the grams of each query that are read. A
     query with a gram that no text has is left out; it has no match."""
-    chars = queries.select("__query", F.filter(F.split("__text", ""), lambda c: c != "").alias("c"))
-    whole = F.when(F.size("c") < LONGEST, F.array(F.array_join("c", ""))).otherwise(F.array_distinct(_runs(F.col("c"), LONGEST)))
-    grams = chars.select("__query", whole.alias("g")).select("__query", F.size("g").alias("total"), F.explode("g").alias("gram"))
     own = W.partitionBy("__query")
+    grams = _exploded(queries.select("__query", "__text"), query=True).withColumn("total", F.count(F.lit(1)).over(own).cast("int"))
     ranked = grams.join(index.sizes, "gram").withColumns({"known": F.count(F.lit(1)).over(own), "at": F.row_number().over(own.orderBy("n", "gram"))})
     few = ranked.filter((F.col("known") == F.col("total")) & (F.col("at") <= RAREST))
     return few.select("__query", "gram", F.least("total", F.lit(RAREST)).alias("n_grams"))

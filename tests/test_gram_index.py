@@ -54,3 +54,17 @@ def test_few_postings_and_texts_are_read(spark, tmp_path):
     assert gi.candidates(index, asked).count() < 0.05 * asked.count() * docs.count()
     plan = rt.b29_substring_search(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_grams_of_a_text_and_of_a_query():
+    """Numbers tell characters and lengths apart, beyond the first plane too."""
+    runs = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    for text in ("", "a", "ab", "aaaa", "é漢🙂.🙂", "\x00a\x00", "abcabc"):
+        assert len(gi.codes(text)) == len(runs(text)) and set(gi.codes(text)) == {int(gi.codes(r, query=True)[-1]) for r in runs(text)}
+        assert len(gi.codes(text, query=True)) == len({r for r in runs(text) if len(r) == min(3, len(text))})
+
+
+def test_postings_are_made_in_all_tasks(spark):
+    """A text table of one file was one task's work."""
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string").coalesce(1)
+    assert gi.postings(docs).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
