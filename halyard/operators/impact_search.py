@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from halyard.functions.numeric import rnd
 from halyard.operators.ranking import with_position
 from halyard.operators.search import term_frequencies
-from halyard.session import scratch_path
+from halyard.session import scratch_path, shuffles_dropped
 
 #: Postings in a term's first level; each further one is twice as long.
 FIRST = 64
@@ -49,7 +49,8 @@ SLACK = 1e-8
 def _kept(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back: it is used more than once."""
     path = scratch_path(df.sparkSession, f"search-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -76,8 +77,10 @@ def by_impact(postings: DataFrame, shards: int, id_col: str = "doc_id", first: i
 def by_document(postings: DataFrame, shards: int, id_col: str = "doc_id") -> DataFrame:
     """(id_shard, id, terms): one row per document with its term weights, to
     be stored partitioned by `id_shard`."""
-    rows = postings.groupBy(id_col).agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
-    return rows.select(shard_of(id_col, shards).alias("id_shard"), id_col, "terms").repartition("id_shard").sortWithinPartitions("id_shard", id_col)
+    # dealt by the shard, which holds its documents whole: one shuffle gathers and lays out
+    dealt = postings.select(shard_of(id_col, shards).alias("id_shard"), id_col, "term", "weight").repartition("id_shard")
+    rows = dealt.groupBy("id_shard", id_col).agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
+    return rows.sortWithinPartitions("id_shard", id_col)
 
 
 def level_bounds(impact: DataFrame) -> DataFrame:
@@ -122,8 +125,9 @@ def build_index(postings: DataFrame, vocab: DataFrame, id_col: str = "doc_id", f
     """An index in the shared folder, from (id, term, weight) postings."""
     spark, shards = postings.sparkSession, shard_count(postings)
     base = scratch_path(spark, f"impact-{uuid.uuid4().hex}")
-    by_impact(postings, shards, id_col, first).write.partitionBy("shard").option("compression", "zstd").parquet(f"{base}/impact")
-    by_document(postings, shards, id_col).write.partitionBy("id_shard").option("compression", "zstd").parquet(f"{base}/documents")
+    with shuffles_dropped(spark):
+        by_impact(postings, shards, id_col, first).write.partitionBy("shard").option("compression", "zstd").parquet(f"{base}/impact")
+        by_document(postings, shards, id_col).write.partitionBy("id_shard").option("compression", "zstd").parquet(f"{base}/documents")
     impact = spark.read.parquet(f"{base}/impact")
     level_bounds(impact).write.option("compression", "zstd").parquet(f"{base}/levels")
     return ImpactIndex(impact, spark.read.parquet(f"{base}/levels"), spark.read.parquet(f"{base}/documents"), vocab, shards, id_col)

@@ -69,3 +69,42 @@ def test_reads_a_small_part_of_the_index(spark):
     print(cost, total)
     assert cost["n"] == queries.count() and cost["read"] < 0.05 * total and cost["read"] < 0.8 * cost["all"]
     assert hits.count() > 0
+
+
+def test_stored_steps_leave_no_shuffle_files_and_no_checkpoint(corpus, spark):
+    """The index was built with the shuffles and a checkpoint of all earlier steps on disk."""
+    import pathlib
+    import time
+
+    from halyard.session import SHUFFLE_CLEANUP, checkpoint_dir, shuffles_dropped
+
+    docs = corpus[0]
+    rdds = lambda: set(pathlib.Path(checkpoint_dir(spark).removeprefix("file:")).glob("rdd-*"))
+    before = rdds()
+    postings, _ = se.tfidf_index(docs)
+    assert rdds() == before and spark.conf.get(SHUFFLE_CLEANUP, "false") == "false"
+    files = lambda: {f for d in pathlib.Path("/tmp").glob("blockmgr-*") for f in d.rglob("shuffle_*.data")}
+    held = files()
+    left = lambda: sum(f.stat().st_size for f in files() - held if f.exists())
+    im.build_index(im._kept(postings), im._kept(se.vocab_from_postings(postings)))
+    for _ in range(50):
+        if left() < 10_000:
+            break
+        time.sleep(0.2)  # they are deleted in the background
+    assert left() < 10_000  # those of counts, which aren't written
+    with shuffles_dropped(spark):
+        assert spark.conf.get(SHUFFLE_CLEANUP) == "true"
+
+
+def test_more_text_makes_more_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "word " * 50) for k in range(100)], "doc_id long, text string")
+    monkeypatch.setattr(se, "TASK_CHARS", 250)
+    assert se.by_document(docs, "doc_id").rdd.getNumPartitions() == 100
+
+
+def test_documents_are_whole_in_one_shard(corpus):
+    _, postings, _, _ = corpus
+    rows = im.by_document(postings, 16)
+    assert rows.count() == rows.select("doc_id").distinct().count()
+    assert rows.select(F.sum(F.size("terms"))).first()[0] == postings.count()
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
