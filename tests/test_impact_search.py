@@ -71,29 +71,27 @@ def test_reads_a_small_part_of_the_index(spark):
     assert hits.count() > 0
 
 
-def test_stored_steps_leave_no_shuffle_files_and_no_checkpoint(corpus, spark):
-    """The index was built with the shuffles and a checkpoint of all earlier steps on disk."""
+def test_stored_steps_drop_their_shuffles_and_make_no_checkpoint(corpus, spark):
+    """Each step of the index left its shuffles on disk, and the terms a checkpoint of a row per posting."""
     import pathlib
-    import time
 
     from halyard.session import SHUFFLE_CLEANUP, checkpoint_dir, shuffles_dropped
 
-    docs = corpus[0]
     rdds = lambda: set(pathlib.Path(checkpoint_dir(spark).removeprefix("file:")).glob("rdd-*"))
-    before = rdds()
-    postings, _ = se.tfidf_index(docs)
-    assert rdds() == before and spark.conf.get(SHUFFLE_CLEANUP, "false") == "false"
-    files = lambda: {f for d in pathlib.Path("/tmp").glob("blockmgr-*") for f in d.rglob("shuffle_*.data")}
-    held = files()
-    left = lambda: sum(f.stat().st_size for f in files() - held if f.exists())
-    im.build_index(im._kept(postings), im._kept(se.vocab_from_postings(postings)))
-    for _ in range(50):
-        if left() < 10_000:
-            break
-        time.sleep(0.2)  # they are deleted in the background
-    assert left() < 10_000  # those of counts, which aren't written
-    with shuffles_dropped(spark):
-        assert spark.conf.get(SHUFFLE_CLEANUP) == "true"
+    setting = lambda: spark.conf.get(SHUFFLE_CLEANUP, "false")
+    before, seen = rdds(), []
+    se.tfidf_index(corpus[0])
+    assert rdds() == before
+
+    class Rows:
+        sparkSession = spark
+        write = property(lambda self: seen.append(setting()) or spark.range(1).write)
+
+    im._kept(Rows())
+    assert seen == ["true"] and setting() == "false"
+    with pytest.raises(ValueError), shuffles_dropped(spark):
+        raise ValueError
+    assert setting() == "false"
 
 
 def test_more_text_makes_more_tasks(spark, monkeypatch):
