@@ -34,6 +34,8 @@ DIMS, CONFIDENCE, SEED = 8, 0.97, 3
 CELL_ROWS, LEAF_ROWS, SAMPLE_ROWS, QUERY_BLOCK = 16_384, 128, 20_000, 20_000
 #: Leaves that are verified between two stopping tests.
 STEP = 4
+#: Queries of a block that a task searches at once, and a bound on the rounding of an inner product of unit vectors.
+QUERIES_AT_ONCE, ROUNDING = 2048, 1e-9
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:
@@ -107,28 +109,66 @@ def search_cell(ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, querie
     leaves = _leaves(points)
     low = np.stack([points[x].min(axis=0) for x in leaves])
     high = np.stack([points[x].max(axis=0) for x in leaves])
-    quantile = chi_square_quantile(CONFIDENCE, DIMS)
+    held = [np.ascontiguousarray(vectors[x]) for x in leaves]
+    longest = float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max()))
     found = []
-    for q, p, bound in zip(queries, query_points, bounds):
-        near = box_distance(p, low, high)
-        order = np.argsort(near, kind="stable")
-        length, worst = float(q @ q), float(bound)
-        rows, scores = np.empty(0, np.int64), np.empty(0)
-        for at in range(0, len(order), STEP):
-            if near[order[at]] > quantile * max(length + far - 2 * worst, 0):
-                break
-            own = np.concatenate([leaves[k] for k in order[at : at + STEP]])
-            rows = np.concatenate((rows, own))
-            scores = np.concatenate((scores, np.einsum("ij,j->i", vectors[own], q)))
-            if len(rows) > keep:
-                take = np.lexsort((ids[rows], -scores))[:keep]
-                rows, scores = rows[take], scores[take]
-                worst = max(worst, float(scores[-1]))
-        take = np.lexsort((ids[rows], -scores))[:keep]
-        found.append((rows[take], scores[take]))
+    for at in range(0, len(queries), QUERIES_AT_ONCE):
+        part = slice(at, at + QUERIES_AT_ONCE)
+        found += _search_block(ids, vectors, leaves, held, low, high, longest, queries[part], query_points[part], bounds[part], far, keep)
     return found
 
 
+def _search_block(ids, vectors, leaves, held, low, high, longest, queries, query_points, bounds, far, keep) -> list[tuple[np.ndarray, np.ndarray]]:
+    """`search_cell` for some queries. Each takes leaves in the order of their
+    distance, in rounds of twice as many as before; the stopping test looks at
+    every STEP-th of a round's, with the bound known when the round begins. A
+    leaf is multiplied by all queries of a round that take it, and what may
+    reach a query's bound gets its score alone."""
+    quantile = chi_square_quantile(CONFIDENCE, DIMS)
+    near = np.stack([box_distance(p, low, high) for p in query_points])
+    order = np.argsort(near, axis=1, kind="stable")
+    near = np.take_along_axis(near, order, axis=1)
+    lengths = np.einsum("ij,ij->i", queries, queries)
+    slack = ROUNDING * np.sqrt(lengths) * longest
+    worst = np.array(bounds, np.float64)
+    rows = [np.empty(0, np.int64)] * len(queries)
+    scores = [np.empty(0)] * len(queries)
+    active, at, width = np.arange(len(queries)), 0, STEP
+    while len(active) and at < len(leaves):
+        end = min(at + width, len(leaves))
+        limit = quantile * np.maximum(lengths[active] + far - 2 * worst[active], 0)
+        steps = (near[active, at:end:STEP] <= limit[:, None]).sum(axis=1)  # sorted, so they are the first
+        who, place = np.nonzero(np.arange(end - at) < (steps * STEP)[:, None])
+        who, leaf = active[who], order[active[who], at + place]
+        active = active[steps * STEP >= end - at]
+        at, width = end, 2 * width
+        by_leaf = np.argsort(leaf, kind="stable")
+        who, leaf = who[by_leaf], leaf[by_leaf]
+        begin = np.flatnonzero(np.diff(leaf, prepend=-1))
+        asks, meets = [], []
+        for first, last in zip(begin.tolist(), np.append(begin[1:], len(leaf)).tolist()):
+            own = who[first:last]
+            q, r = np.nonzero(queries[own] @ held[leaf[first]].T >= (worst[own] - slack[own])[:, None])
+            asks.append(own[q])
+            meets.append(leaves[leaf[first]][r])
+        if not asks:
+            continue
+        ask, meet = np.concatenate(asks), np.concatenate(meets)
+        by_query = np.argsort(ask, kind="stable")
+        ask, meet = ask[by_query], meet[by_query]
+        begin = np.flatnonzero(np.diff(ask, prepend=-1))
+        for first, last in zip(begin.tolist(), np.append(begin[1:], len(ask)).tolist()):
+            i, own = int(ask[first]), meet[first:last]
+            rows[i] = np.concatenate((rows[i], own))
+            scores[i] = np.concatenate((scores[i], np.einsum("ij,j->i", vectors[own], queries[i])))
+            if len(rows[i]) > keep:
+                take = np.lexsort((ids[rows[i]], -scores[i]))[:keep]
+                rows[i], scores[i] = rows[i][take], scores[i][take]
+                worst[i] = max(worst[i], float(scores[i][-1]))
+    takes = [np.lexsort((ids[r], -s)) for r, s in zip(rows, scores)]
+    return [(r[t], s[t]) for r, s, t in zip(rows, scores, takes)]
+
+
 def _packed(column) -> np.ndarray:
     parts = column.combine_chunks().to_pylist() if isinstance(column, pa.ChunkedArray) else column.to_pylist()
     return np.frombuffer(b"".join(parts), np.float64).reshape(len(parts), -1) if parts else np.empty((0, 0))

@@ -78,3 +78,24 @@ def test_cells_follow_the_splits():
     x = np.random.default_rng(0).normal(size=(4096, ann.DIMS))
     cells = ann.cell_of(x, ann.kd_splits(x, 4))
     assert sorted(set(cells.tolist())) == list(range(16)) and np.bincount(cells).max() <= 260
+
+
+def test_a_cell_scores_few_rows_alone_and_finds_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16))
+    x[:40] = np.round(x[:40])
+    x[40:80] = x[:40]  # ties
+    ids, far = rng.permutation(3000), float((x * x).sum(axis=1).max())
+    matrix = ann.projection(16)
+    points = x @ matrix[:-1] + np.sqrt(np.maximum(far - (x * x).sum(axis=1), 0))[:, None] * matrix[-1]
+    alone, einsum = [], np.einsum
+    monkeypatch.setattr(ann.np, "einsum", lambda how, *a: (alone.append(len(a[0])) if how == "ij,j->i" else None) or einsum(how, *a))
+    found = ann.search_cell(ids, x, points, x[:100], x[:100] @ matrix[:-1], np.full(100, -np.inf), far, 21)
+    monkeypatch.undo()
+    assert sum(alone) < 100 * 3000 / 3  # nearly all rows are met, but few may reach the bound
+    recall = 0
+    for q, (rows, scores) in zip(x, found):
+        exact = einsum("ij,j->i", x, q)
+        assert np.array_equal(scores, exact[rows])
+        recall += len(set(rows.tolist()) & set(np.lexsort((ids, -exact))[:21].tolist()))
+    assert recall >= 0.95 * 2100
