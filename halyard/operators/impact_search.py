@@ -42,6 +42,8 @@ SEEDS = 2
 #: Reading ends when what is left unread is below this share of the threshold: the less
 #: is left, the fewer documents are still open and have to be completed.
 STOP = 0.5
+#: Rows of queries' levels, documents or hits that are broadcast, some 20 MB.
+BROADCAST_ROWS = 200_000
 #: Scores are compared to nine digits, so bounds keep this distance.
 SLACK = 1e-8
 
@@ -54,6 +56,14 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """`df`, written first, as the small side of a join with the index: up to
+    BROADCAST_ROWS rows are broadcast. Joined as a plan whose size nobody knows,
+    it has the whole index shuffled before it turns out to be small."""
+    kept = _kept(df)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def shard_count(postings: DataFrame) -> int:
     return max(MIN_SHARDS, postings.count() // SHARD_POSTINGS)
 
@@ -62,16 +72,32 @@ def shard_of(key: str, shards: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 
 
-def by_impact(postings: DataFrame, shards: int, id_col: str = "doc_id", first: int = FIRST) -> DataFrame:
+def large_terms(sizes: DataFrame) -> list[str]:
+    """Terms of (term, df) with more postings than a shard is meant to have:
+    at most one for each SHARD_POSTINGS postings."""
+    return [r["term"] for r in sizes.filter(F.col("df") > SHARD_POSTINGS).select("term").collect()]
+
+
+def by_impact(postings: DataFrame, shards: int, id_col: str = "doc_id", first: int = FIRST, large: list[str] | None = None) -> DataFrame:
     """(shard, term, level, id, weight): store it partitioned by `shard`.
-    Ranks come from ranges of all postings, so a term of very many documents
-    is sorted in many tasks."""
-    order = [F.asc("term"), F.desc("weight"), F.asc(id_col)]
-    placed = with_position(postings.select(id_col, "term", "weight"), order, "_at")
-    start = placed.groupBy("term").agg(F.min("_at").alias("_start"))
-    level = F.floor(F.log2((F.col("_at") - F.col("_start")) / F.lit(float(first)) + 1)).cast("int")
-    cut = placed.join(start, "term").select(shard_of("term", shards).alias("shard"), "term", level.alias("level"), id_col, "weight")
-    return cut.repartitionByRange("shard", "term", "level", id_col).sortWithinPartitions("shard", "term", "level")
+    One shuffle deals the postings to their shards, where each term is ranked
+    alone. Ranks of `large` terms (by default the `large_terms` of these
+    postings) come from ranges of their postings, so that a term of very many
+    documents is sorted in many tasks."""
+    rows = postings.select(shard_of("term", shards).alias("shard"), "term", id_col, "weight")
+    if large is None:
+        large = large_terms(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    level = lambda at: F.floor(F.log2(at / F.lit(float(first)) + 1)).cast("int").alias("level")
+    columns = ["shard", "term", "level", id_col, "weight"]
+    order = [F.desc("weight"), F.asc(id_col)]
+    some = rows.filter(~F.col("term").isin(large)) if large else rows
+    ranked = some.repartition("shard").withColumn("_at", F.row_number().over(W.partitionBy("shard", "term").orderBy(*order)) - 1)
+    cut = ranked.withColumn("level", level(F.col("_at"))).select(*columns)
+    if not large:
+        return cut
+    placed = with_position(rows.filter(F.col("term").isin(large)), [F.asc("term"), *order], "_at")
+    start = placed.groupBy("term").agg(F.min("_at").alias("_start"))  # a row a large term
+    return cut.unionByName(placed.join(F.broadcast(start), "term").withColumn("level", level(F.col("_at") - F.col("_start"))).select(*columns))
 
 
 def by_document(postings: DataFrame, shards: int, id_col: str = "doc_id") -> DataFrame:
@@ -135,7 +161,7 @@ def build_index(postings: DataFrame, vocab: DataFrame, id_col: str = "doc_id", f
 
 def _whole_scores(index: ImpactIndex, pairs: DataFrame, weights: DataFrame, qid: str) -> DataFrame:
     """(query, id, score) of (query, id) pairs, from the documents' own rows."""
-    located = pairs.withColumn("id_shard", shard_of(index.id_col, index.shards))
+    located = _few(pairs.withColumn("id_shard", shard_of(index.id_col, index.shards)))
     each = index.documents.join(located, ["id_shard", index.id_col]).select(qid, index.id_col, F.explode("terms").alias("_t"))
     met = each.select(qid, index.id_col, F.col("_t.term").alias("term"), F.col("_t.weight").alias("weight")).join(weights, [qid, "term"])
     return met.groupBy(qid, index.id_col).agg(F.sum(F.col("wq") * F.col("weight")).alias("_s"))
@@ -162,10 +188,10 @@ def search_with_plan(index: ImpactIndex, queries: DataFrame, k: int = 10, qid: s
     allowed = docs
     for name, value in (filters or {}).items():
         allowed = allowed.filter(F.col(name) == F.lit(value))
-    weights = _kept(query_weights(queries, index.vocab, qid, qtext, stop_words))
+    weights = _few(query_weights(queries, index.vocab, qid, qtext, stop_words))
 
     def read(levels: DataFrame) -> DataFrame:
-        rows = index.impact.join(levels, ["shard", "term", "level"])
+        rows = index.impact.join(_few(levels), ["shard", "term", "level"])
         return rows.join(allowed.select(id_col), id_col, "left_semi") if filters else rows
 
     first = weights.join(index.levels.filter(F.col("level") == 0), "term").select(qid, "shard", "term", "level", "wq")
@@ -183,7 +209,9 @@ def search_with_plan(index: ImpactIndex, queries: DataFrame, k: int = 10, qid: s
     top = _top(scored, qid, [F.desc(rnd("_s", 9)), F.asc(id_col)], k)
     hits = top.select(qid, id_col, rnd("_s", 4).alias("similarity_score"), "rank")
     if fields:
-        hits = hits.join(docs.select(id_col, *fields), id_col, "left").select(*hits.columns, *fields)
+        hits = _kept(hits)
+        found = docs.select(id_col, *fields).join(_few(hits.select(id_col).distinct()), id_col, "left_semi")  # texts stay where they are
+        hits = hits.join(found, id_col, "left").select(*hits.columns, *fields)
     return hits, plan
 
 
